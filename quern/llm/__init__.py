@@ -5,8 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "op1_mixture",
     "op3_token_counts",
+    "op4_warc_store",
     "op8_byte_bpe",
+    "op10_line_dedup",
 )
 
 
