@@ -6,9 +6,12 @@ from importlib import import_module
 
 MODULES = (
     "op1_mixture",
+    "op2_toxicity",
     "op3_token_counts",
     "op4_warc_store",
+    "op7_quality_rules",
     "op8_byte_bpe",
+    "op9_media",
     "op10_line_dedup",
 )
 
