@@ -9,6 +9,7 @@ MODULES = (
     "op2_toxicity",
     "op3_token_counts",
     "op4_warc_store",
+    "op6_language_id",
     "op7_quality_rules",
     "op8_byte_bpe",
     "op9_media",

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = 4000, where: Column | None = None) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = 4000, where: Column | None = None, kind: str = "int") -> DataFrame:
     """key, text, label of at most ``most`` labelled rows, those whose keys have the smallest MD5.
 
-    A key with several labels counts as 1 if any is 1; rows without key or label are left out. Only the
+    A key with several labels counts with the largest, so as 1 if any is 1; rows without key or label are left out. Only the
     chosen keys, whose number is bounded, are sent to the scan of the texts.
     """
-    picked = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).dropna()
+    picked = labels.select(F.col(key).alias("_key"), F.col(label).cast(kind).alias("_label")).dropna()
     if where is not None:
         picked = picked.filter(where)
     picked = picked.groupBy("_key").agg(F.max("_label").alias("_label"))

@@ -74,7 +74,7 @@ def thumbnails(media: list[bytes]) -> list[list[np.ndarray]]:
 
 
 def feature(thumbs: list[np.ndarray]) -> str:
-    """Dimensions, and a 64-bit hash: which cells of an 8 x 8 grid over the thumbnail are brighter than its mean."""
+    """Dimensions, and a 64-bit hash: which cells of an 8 x 8 grid over the thumbnail are brighter than their median."""
     if not thumbs:
         return "0x0:"
     if len({x.shape[1] for x in thumbs}) > 1:
@@ -84,7 +84,8 @@ def feature(thumbs: list[np.ndarray]) -> str:
     rows, columns = np.arange(8) * height // 8, np.arange(8) * width // 8
     sums = np.add.reduceat(np.add.reduceat(whole.astype(np.int64), rows, 0), columns, 1)
     cells = np.diff(np.append(rows, height))[:, None] * np.diff(np.append(columns, width))[None, :]
-    bright = sums * whole.size > int(whole.sum(dtype=np.int64)) * np.maximum(cells, 1)
+    means = sums / np.maximum(cells, 1)
+    bright = means > np.median(means)
     return f"{width * 8}x{height * 8}:{np.packbits(bright).tobytes().hex()}"
 
 
