@@ -9,6 +9,7 @@ MODULES = (
     "op2_toxicity",
     "op3_token_counts",
     "op4_warc_store",
+    "op5_jaccard_join",
     "op6_language_id",
     "op7_quality_rules",
     "op8_byte_bpe",

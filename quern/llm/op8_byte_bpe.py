@@ -203,6 +203,17 @@ def encoding_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     return _mapped(docs, key, text, path, pattern, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _all(code: Encoder, texts: Iterator[str]) -> list[pa.Array]:
+    texts = list(texts)
+    counts, of_ids, of_bytes = _digests(code, iter(texts))
+    return [counts, pa.array([code.encode(x) for x in texts], pa.list_(pa.int32())), of_ids, of_bytes]
+
+
+def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """key, n_tokens, ids and the digests of encoding_digests."""
+    return _mapped(docs, key, text, path, pattern, _all, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
