@@ -24,8 +24,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that are boilerplate of their source; counts the letters left."""
+    """Drops lines that are boilerplate of their source, and documents of nothing else; counts the letters left."""
     cleaned = op10_line_dedup.without_boilerplate(docs, "source", ratio=LINE_RATIO)
+    cleaned = cleaned.filter("_dropped = 0 or _dropped < _lines")
     letters = F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", letters).select(docs.columns)
 
