@@ -6,13 +6,14 @@ sees every document's n-grams of its range, and so
 1. counts each n-gram's documents: one that is in a single document can not be part of an overlap, and
    a document most of whose n-grams are such can not have a link at all. Only n-grams of two documents
    or more leave this step, and only documents enough of whose n-grams did go on;
-2. counts partial overlaps of candidate pairs; these are summed per pair and compared with the threshold.
+2. counts partial overlaps of candidates, which are summed per pair and compared with the threshold.
 
-Documents with equal n-gram sets form a class, and one of them stands for it. Candidate pairs share one
-of the rarest n-grams that a link must hit (prefix filter). To list no group's pairs, rounds of stars come
-first: in each, an n-gram's documents are compared with one leader only, and links join components.
-Then every pair with a shared n-gram that lies in two components is compared, so no link between
-components is lost; pairs inside one component need no test.
+Documents with equal n-gram sets form a class, and one of them stands for it. Candidates share one of
+the rarest n-grams that a link must hit (prefix filter); what such n-grams connect is a candidate group.
+Groups are compared block by block: the n-gram order of two blocks is cut into fragments, each fragment's
+overlaps are counted for all rows of the blocks at once and added up, and what leaves a task is no
+pair list but each row's link to the least row that it reaches there. A group of any size is spread over
+its pairs of blocks, and every pair of candidates meets in one of them, so no link is lost.
 
 Defined results: a null text counts as empty; a text without words has 0 shingles and no link; a text
 with fewer words than n has its whole sequence as one shingle; rows that repeat key and text are links of
@@ -27,7 +28,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import shared_folder, stored
@@ -36,13 +37,13 @@ from ._text import FOLDED_KEY, mix, slices, span_hashes, words
 N = 5
 PERCENT = 80
 #: n-grams of a fragment, about; with 500 to a document this gives the number of fragments.
-FRAGMENT_GRAMS = 3_000_000
+FRAGMENT_GRAMS = 2_000_000
 #: n-grams that a task gathers before it deals them out to fragments.
-GATHERED = 3_000_000
+GATHERED = 1_500_000
 KEY_BYTES = 5
-#: Rounds of stars at most, and the share of pairs to prefix entries at which they end.
-STAR_ROUNDS = 6
-PAIRS_PER_ENTRY = 2
+#: n-grams of a fragment when blocks are compared, and rows of a block.
+FRAGMENT = 2048
+BLOCK = 1000
 #: Labels from here on stand for rows without a key.
 NO_KEY = 1 << 62
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -192,83 +193,117 @@ def _count(table: pa.Table) -> pa.Table:
     none = pa.nulls(len(rows), pa.int64())
     n = kept[rows]
     return pa.Table.from_arrays(
-        [pa.array(np.full(len(rows), fragment)), pa.array(nodes[rows]), pa.array(n.astype(np.int32)), _binaries(n, KEY_BYTES, _packed(keys)), _binaries(n, 2, np.minimum(often, 65535).astype(np.uint16)), *[none] * 4],
+        [pa.array(np.full(len(rows), fragment)), pa.array(nodes[rows]), pa.array(n.astype(np.int32)), _binaries(n, KEY_BYTES, _packed(keys)), _binaries(n, 1, np.minimum(often, 255).astype(np.uint8)), *[none] * 4],
         names=names,
     )
 
 
-def _prefixes(percent: int):
-    """The rarest n-grams of each class, one of which it shares with all that it may be linked with."""
+def _assembled(percent: int, bits: int):
+    """A class's n-grams in global order, and the rarest of them, one of which it shares with all that it may be linked with."""
+    width = (bits + 8 * KEY_BYTES + 7) // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 size = np.array(part.column(1).to_pylist(), np.int64)
-                lists = part.column(2).to_pylist()
-                segments = [(i, s["fragment"], s["keys"], s["often"]) for i, row in enumerate(lists) for s in row]
+                segments = [(i, s["fragment"], s["keys"], s["often"]) for i, row in enumerate(part.column(2).to_pylist()) for s in row]
                 n = np.array([len(s[2]) // KEY_BYTES for s in segments], np.int64)
                 row = np.repeat(np.array([s[0] for s in segments]), n)
                 token = np.repeat(np.array([s[1] for s in segments], np.uint64), n) << np.uint64(8 * KEY_BYTES) | _keys(b"".join(s[2] for s in segments))
-                often = np.frombuffer(b"".join(s[3] for s in segments), np.uint16)
-                order = np.lexsort((token, often, row))
-                row, token = row[order], token[order]
+                often = np.frombuffer(b"".join(s[3] for s in segments), np.uint8)
                 held = np.bincount(row, minlength=len(size))
+                whole = token[np.lexsort((token, row))]
+                order = np.lexsort((token, often, row))
                 rank = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
-                take = rank < (held + (-percent * size // 100) + 1)[row]
-                classes = np.array(part.column(0).to_pylist(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(classes[row[take]]), pa.array(size[row[take]])], names=["token", "class", "size"])
+                most = held + (-percent * size // 100) + 1
+                take = rank < most[row]
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(held, most))]).astype(np.int32)), pa.array(token[order][take].view(np.int64)))
+                packed = np.ascontiguousarray(whole).view(np.uint8).reshape(-1, 8)[:, :width].reshape(-1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _binaries(held, width, packed), rare], names=["class", "size", "grams", "rare"])
 
     return run
 
 
-def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Partial overlaps of a fragment's pairs."""
-    names = ["x", "y", "sx", "sy", "overlap"]
-    classes = np.array(segments.column("class").to_numpy(), np.int64)
-    order = np.argsort(classes, kind="stable")
-    values = segments.column("keys").to_pylist()
-    n = np.array([len(v) // KEY_BYTES for v in values], np.int64)[order]
-    keys = _keys(b"".join(values[i] for i in order))
-    classes = classes[order]
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    shift = np.uint64(8 * KEY_BYTES)
-    held = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64), n) << shift | keys)
-    x, y = (np.array(pairs.column(c).to_numpy(), np.int64) for c in "xy")
-    if not len(held) or not len(x):
-        return pa.Table.from_arrays([pa.nulls(0, pa.int64())] * 5, names=names)
-    ix, iy = (np.minimum(np.searchsorted(classes, v), len(classes) - 1) for v in (x, y))
-    there = np.flatnonzero((classes[ix] == x) & (classes[iy] == y))
-    overlap = np.zeros(len(x), np.int64)
-    done = 0
-    while done < len(there):  # about a million n-grams at a time
-        ahead = np.cumsum(n[ix[there[done : done + 200_000]]])
-        some = there[done : done + max(1, int(np.searchsorted(ahead, 1_000_000, "right")))]
-        done += len(some)
-        width = n[ix[some]]
-        of = np.repeat(np.arange(len(some)), width)
-        spot = np.repeat(bounds[ix[some]] - (np.cumsum(width) - width), width) + np.arange(len(of))
-        wanted = iy[some].astype(np.uint64)[of] << shift | keys[spot]
-        hit = held[np.minimum(np.searchsorted(held, wanted), len(held) - 1)] == wanted
-        overlap[some] = np.bincount(of[hit], minlength=len(some))
-    some = np.flatnonzero(overlap)
-    picked = [pairs.column(c).combine_chunks().take(pa.array(some)) for c in names[:4]]
-    return pa.Table.from_arrays([*picked, pa.array(overlap[some])], names=names)
+def _partial_sums(left: tuple, right: tuple) -> np.ndarray:
+    """Overlaps of all rows of two blocks (tokens, their rows, number of rows), counted for one fragment of the n-gram order at a time and summed."""
+    (ta, ra, na), (tb, rb, nb) = left, right
+    order = np.intersect1d(ta, tb)
+    overlap = np.zeros((na, nb), np.float32)
+    for low in range(0, len(order), FRAGMENT):
+        fragment = order[low : low + FRAGMENT]
+        sides = []
+        for t, r, n in (left, right):
+            inside = np.flatnonzero((t >= fragment[0]) & (t <= fragment[-1]))
+            spot = np.searchsorted(fragment, t[inside])
+            hit = fragment[spot] == t[inside]
+            held = np.zeros((n, len(fragment)), np.float32)
+            held[r[inside[hit]], spot[hit]] = 1
+            sides.append(held)
+        overlap += sides[0] @ sides[1].T
+    return overlap
+
+
+def _linked(percent: int, bits: int):
+    """Links of a bin of candidate groups: each row's class with the least class that it reaches there."""
+    width = (bits + 8 * KEY_BYTES + 7) // 8
+
+    def tokens(values: list[bytes]) -> tuple:
+        n = np.array([len(v) // width for v in values], np.int64)
+        raw = np.frombuffer(b"".join(values), np.uint8).reshape(-1, width)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :width] = raw
+        return wide.view(np.uint64).reshape(-1), np.repeat(np.arange(len(n)), n), len(n)
+
+    def run(table: pa.Table) -> pa.Table:
+        group = np.array(table.column("group").to_numpy())
+        side = np.array(table.column("side").to_numpy())
+        order = np.lexsort((side, group))
+        group, side = group[order], side[order]
+        classes = np.array(table.column("class").to_numpy())[order]
+        size = np.array(table.column("size").to_numpy())[order]
+        grams = table.column("grams").to_pylist()
+        edges: list[np.ndarray] = []
+        for first, end in zip(heads := np.flatnonzero(np.diff(group, prepend=group[0] - 1)), np.append(heads[1:], len(group)), strict=True):
+            rows = np.arange(first, end)
+            sides = (rows, rows) if side[first] == side[end - 1] else (rows[side[rows] == side[first]], rows[side[rows] != side[first]])
+            packed = [tokens([grams[order[i]] for i in x]) for x in (sides if sides[0] is not sides[1] else sides[:1])]
+            overlap = _partial_sums(packed[0], packed[-1])
+            total = size[sides[0]][:, None] + size[sides[1]][None, :]
+            links = overlap * 100 >= (total - overlap) * percent
+            a, b = np.nonzero(links)
+            x, y = sides[0][a] - first, sides[1][b] - first
+            label = np.arange(end - first)
+            while len(x):  # least row that links reach
+                before = label.copy()
+                np.minimum.at(label, x, label[y])
+                np.minimum.at(label, y, label[x])
+                label = label[label]
+                if (label == before).all():
+                    break
+            moved = np.flatnonzero(label != np.arange(end - first))
+            edges.append(np.stack([classes[first + moved], classes[first + label[moved]]]))
+        x, y = np.concatenate(edges, 1)
+        return pa.Table.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+
+    return run
 
 
 def _merged(labels: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
     """labels (class, label) after joining the components that links (x, y) connect: least label, by steps with pointer jumping."""
     of = lambda side: labels.select(F.col("class").alias(side), F.col("label").alias(f"l{side}"))
-    edges = links.join(of("x"), "x").join(of("y"), "y").filter("lx != ly").select("lx", "ly").distinct()
-    edges = stored(edges.unionAll(edges.select(F.col("ly").alias("lx"), F.col("lx").alias("ly"))), folder, f"{name}-edges")
-    roots = stored(edges.groupBy(F.col("lx").alias("v")).agg(F.least(F.min("ly"), F.col("lx")).alias("root")), folder, f"{name}-0")
+    edges = links.join(of("x"), "x").join(of("y"), "y").filter("lx != ly").select("lx", "ly")
+    edges = stored(edges.unionAll(edges.select(F.col("ly").alias("lx"), F.col("lx").alias("ly"))).distinct(), folder, f"{name}-edges")
+    roots = edges.groupBy(F.col("lx").alias("v")).agg(F.least(F.min("ly"), F.col("lx")).alias("root"))
     step = 0
+    roots = stored(roots, folder, f"{name}-0")
     while True:
         step += 1
         near = edges.join(roots.select(F.col("v").alias("ly"), "root"), "ly").groupBy(F.col("lx").alias("v")).agg(F.min("root").alias("near"))
-        low = stored(roots.join(near, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("was")), folder, f"{name}-{step}a")
-        jump = low.select(F.col("v").alias("root"), F.col("root").alias("next"))
-        roots = stored(low.join(jump, "root", "left").select("v", F.least("root", F.coalesce("next", "root")).alias("root"), "was"), folder, f"{name}-{step}")
+        low = roots.select("v", "root").join(near, "v").select("v", F.least("root", "near").alias("low"), F.col("root").alias("was"))
+        jump = roots.select(F.col("v").alias("low"), F.col("root").alias("next"))
+        roots = low.join(jump, "low", "left").select("v", F.least("low", F.coalesce("next", "low")).alias("root"), "was")
+        roots = stored(roots, folder, f"{name}-{step}")
         if roots.filter("root != was").isEmpty():
             break
     roots = roots.select(F.col("v").alias("label"), "root")
@@ -290,45 +325,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     able = facts.join(enough, "node").filter(F.col("held") * 100 >= F.col("size") * percent)
     label = F.coalesce(F.min("id"), F.col("class").bitwiseAND(NO_KEY - 1) + NO_KEY)
     reps = stored(able.groupBy("class", "size").agg(F.min("node").alias("node"), label.alias("label")), folder, "reps")
-    segments = stored(shared.join(reps.select("node", "class", "size"), "node").select("fragment", "class", "size", "keys", "often"), folder, "segments")
-    per_class = segments.groupBy("class", "size").agg(F.collect_list(F.struct("fragment", "keys", "often")).alias("segments"))
-    prefixes = stored(per_class.mapInArrow(_prefixes(percent), "token long, class long, size long"), folder, "prefixes")
-    entries = prefixes.count()
-    labels = reps.select("class", "label")
-
-    def fits(a: Column, b: Column) -> Column:
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of pairs (x, y, sx, sy) that reach the threshold: partial overlaps by fragment, summed per pair."""
-        pairs = stored(pairs.distinct(), folder, f"{name}-pairs")
-        spread = pairs.join(segments.select(F.col("class").alias("x"), F.col("fragment").alias("part")), "x").select("part", "x", "y", "sx", "sy")
-        partial = segments.select("fragment", "class", "keys").groupBy("fragment").cogroup(spread.groupBy("part")).applyInArrow(_overlaps, "x long, y long, sx long, sy long, overlap long")
-        whole = partial.groupBy("x", "y", "sx", "sy").agg(F.sum("overlap").alias("overlap"))
-        return stored(whole.filter(F.col("overlap") * 100 >= (F.col("sx") + F.col("sy") - F.col("overlap")) * percent).select("x", "y"), folder, f"{name}-links")
-
-    for step in range(STAR_ROUNDS + 1):
-        placed = stored(prefixes.join(labels, "class"), folder, f"{step}-placed")
-        groups = placed.groupBy("token", "label").agg(F.count("*").alias("c"))
-        groups = groups.groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("labels")).filter("labels > 1")
-        open_ = stored(groups, folder, f"{step}-open")
-        left = open_.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("within")) / 2)).first()[0] or 0
-        if not left:
-            break
-        last = step == STAR_ROUNDS or left <= PAIRS_PER_ENTRY * entries
-        spots = placed.join(open_.select("token"), "token")
-        if last:
-            other = spots.select("token", *(F.col(c).alias(f"{c}_") for c in ("class", "size", "label")))
-            pairs = spots.join(other, "token").filter((F.col("label") < F.col("label_")) & fits(F.col("size"), F.col("size_")))
-        else:
-            chance = F.xxhash64(F.col("class"), F.lit(step))
-            leaders = spots.groupBy("token").agg(F.min(F.struct(chance.alias("chance"), "class", "size", "label")).alias("lead"))
-            leaders = stored(leaders.select("token", F.col("lead.class").alias("class_"), F.col("lead.size").alias("size_"), F.col("lead.label").alias("label_")), folder, f"{step}-leaders")
-            pairs = placed.join(leaders, "token").filter((F.col("label") != F.col("label_")) & fits(F.col("size"), F.col("size_")))
-        pairs = pairs.select(F.col("class").alias("x"), F.col("class_").alias("y"), F.col("size").alias("sx"), F.col("size_").alias("sy"))
-        labels = _merged(labels, linked(pairs, f"{step}"), folder, f"{step}")
-        if last:
-            break
+    segments = shared.join(reps.select("node", "class", "size"), "node").groupBy("node", "class", "size").agg(F.collect_list(F.struct("fragment", "keys", "often")).alias("segments"))
+    sets = stored(segments.select("class", "size", "segments").mapInArrow(_assembled(percent, bits), "class long, size long, grams binary, rare array<long>"), folder, "sets")
+
+    # candidate groups: what the rare n-grams connect
+    rare = sets.select("class", F.explode("rare").alias("token"))
+    leaders = rare.groupBy("token").agg(F.min("class").alias("lead"), F.max("class").alias("other")).filter("lead < other").select("token", "lead")
+    near = rare.join(stored(leaders, folder, "leaders"), "token").filter("class != lead").select(F.col("class").alias("x"), F.col("lead").alias("y")).distinct()
+    alone = sets.select("class", F.col("class").alias("label"))
+    groups = _merged(alone, stored(near, folder, "near"), folder, "groups").withColumnRenamed("label", "group")
+    counts = stored(groups.groupBy("group").agg(F.count("*").alias("rows")).filter("rows > 1"), folder, "counts")
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
+    placed = groups.join(counts, "group").select("class", "group", blocks.alias("blocks"), F.pmod(F.xxhash64("class"), blocks).alias("block"))
+    placed = placed.join(sets.select("class", "size", "grams"), "class")
+    # a row of a large group goes to each pair of blocks that its own is in; small groups share bins
+    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("partner")
+    bins = max(1, sets.count() // BLOCK)
+    low, high = F.least("block", "partner"), F.greatest("block", "partner")
+    dealt = placed.select("*", partner).select(
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.xxhash64("group", low, high)).alias("bin"),
+        F.when(F.col("blocks") == 1, F.col("group")).otherwise(F.xxhash64("group", low, high)).alias("group"),
+        F.col("block").alias("side"), "class", "size", "grams",
+    )
+    links = stored(dealt.groupBy("bin").applyInArrow(_linked(percent, bits), "x long, y long").distinct(), folder, "links")
+    labels = _merged(reps.select("class", "label"), links, folder, "components")
 
     found = facts.join(labels.select("class", "label"), "class", "left")
     reached = F.when(F.col("label") < NO_KEY, F.col("label")).otherwise(F.col("id"))
