@@ -55,13 +55,10 @@ def test_random_arithmetic_matches_duckdb(spark, duck):
     def tree(depth):
         if not depth:
             return str(rng.randint(1, 9))
-        op = rng.choice(["+", "-", "*", "%", "=", "<", "and", "or"])
-        a, b = tree(depth - 1), tree(depth - 1)
-        if op in ("and", "or"):
-            return f"{a} < {b} {op} {b} <> {a}"
-        return f"({a} {op} {b})::int" if op in "=<" else f"{a} {op} {b}" if rng.random() < 0.6 else f"({a} {op} {b})"
+        op, a, b = rng.choice("+-*"), tree(depth - 1), tree(depth - 1)
+        return f"{a} {op} {b}" if rng.random() < 0.6 else f"({a} {op} {b})"
 
-    arithmetic = [t for t in (tree(3) for _ in range(200)) if not any(w in t for w in ("and", "or", "=", "<", "%"))][:20]
+    arithmetic = [tree(3) for _ in range(40)]
     engine = Engine(spark)
     statement = "select " + ", ".join(f"{t} as c{i}" for i, t in enumerate(arithmetic))
     assert tuple(engine.execute(statement).first()) == duck.sql(statement).fetchall()[0]
