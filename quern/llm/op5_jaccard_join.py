@@ -40,6 +40,8 @@ PERCENT = 80
 FRAGMENT_GRAMS = 2_000_000
 #: n-grams that a task gathers before it deals them out to fragments.
 GATHERED = 1_500_000
+#: Documents of a lot at most: within it a document is known by two bytes.
+LOT = 1 << 16
 KEY_BYTES = 5
 #: n-grams of a fragment when blocks are compared, and rows of a block.
 FRAGMENT = 2048
@@ -96,7 +98,7 @@ def _joined(column: pa.ChunkedArray | pa.Array) -> bytes:
     return b"".join(x for x in column.to_pylist() if x)
 
 
-DEALT = "fragment long, nodes binary, counts binary, keys binary, ids array<long>, sizes array<long>, sums array<long>, mixes array<long>"
+DEALT = "fragment long, lot long, nodes binary, counts binary, keys binary, ids array<long>, sizes array<long>, sums array<long>, mixes array<long>"
 
 
 def _deal(bits: int, n: int):
@@ -113,8 +115,9 @@ def _deal(bits: int, n: int):
             bounds = np.concatenate([[0], np.cumsum(counts)])
             sums, mixes = (np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (every, mix(every ^ _STEP)))
             sums, mixes = sums[bounds[1:]] - sums[bounds[:-1]], mixes[bounds[1:]] - mixes[bounds[:-1]]
+            # a lot is known by what it holds, so a task that runs again gives it the same number
             plain = np.array([-1 if x is None else x for x in ids], np.int64).view(np.uint64)
-            nodes = mix(mix(plain + np.uint64(1)) ^ mixes)
+            lot = int(mix(np.add.reduce(mix(mix(plain + np.arange(len(ids), dtype=np.uint64)) ^ mixes), keepdims=True))[0] >> np.uint64(17))
             fragment = (every >> np.uint64(64 - bits)).astype(np.uint32)
             owner = np.repeat(np.arange(len(sets), dtype=np.int64), counts)
             order = np.argsort(fragment, kind="stable")
@@ -127,13 +130,14 @@ def _deal(bits: int, n: int):
             grams_in = np.add.reduceat(per, at) if len(at) else per
             k = len(found)
             facts = [pa.array([None] * k + [x.tolist()], pa.list_(pa.int64())) for x in (counts, sums.view(np.int64), mixes.view(np.int64))]
-            none = pa.array([nodes.tobytes()], pa.binary())
+            none = pa.array([np.arange(len(sets), dtype=np.uint16).tobytes()], pa.binary())
             blank = pa.array([None], pa.binary())
-            spread = -1 - int(nodes[0] % np.uint64(1 << bits))
+            spread = -1 - lot % (1 << bits)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([*found.astype(np.int64).tolist(), spread], pa.int64()),
-                    pa.concat_arrays([_binaries(docs_in, 8, nodes[owner[heads]]), none]),
+                    pa.array(np.full(k + 1, lot)),
+                    pa.concat_arrays([_binaries(docs_in, 2, owner[heads].astype(np.uint16)), none]),
                     pa.concat_arrays([_binaries(docs_in, 4, per.astype(np.uint32)), blank]),
                     pa.concat_arrays([_binaries(grams_in, KEY_BYTES, _packed(keys)), blank]),
                     pa.array([None] * k + [ids], pa.list_(pa.int64())),
@@ -142,10 +146,13 @@ def _deal(bits: int, n: int):
                 names=[x.split()[0] for x in DEALT.split(", ")],
             )
 
-        for b in batches:
+        for b in (b.slice(at, LOT) for b in batches for at in range(0, b.num_rows, LOT)):
             keys = b.column(0).to_pylist()
             for first, end, data, offsets in slices(b.column(1)):
                 found = shingles(data, offsets, n)
+                if len(sets) + len(found) > LOT:
+                    yield flush()
+                    sets, ids, size = [], [], 0
                 sets += found
                 ids += keys[first:end]
                 size += sum(map(len, found)) + len(found)
@@ -166,7 +173,9 @@ def _count(table: pa.Table) -> pa.Table:
     names = [x.split()[0] for x in PARTS.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
     fragment = table.column("fragment")[0].as_py()
-    nodes = np.frombuffer(_joined(table.column("nodes")), np.int64)
+    local = np.frombuffer(_joined(table.column("nodes")), np.uint16).astype(np.int64)
+    held = np.array([len(x) // 2 for x in table.column("nodes").to_pylist()])
+    nodes = np.repeat(table.column("lot").to_numpy(), held) << 16 | local
     if fragment < 0:
         flat = [pa.array(x, pa.int64()) for x in ([v for row in table.column(c).to_pylist() for v in row] for c in ("ids", "sizes", "sums", "mixes"))]
         blank = [pa.nulls(len(nodes), k) for k in (kinds[0], *kinds[2:5])]
@@ -174,12 +183,6 @@ def _count(table: pa.Table) -> pa.Table:
     counts = np.frombuffer(_joined(table.column("counts")), np.uint32).astype(np.int64)
     keys = _keys(_joined(table.column("keys")))
     owner = np.repeat(np.arange(len(nodes)), counts)
-    _, first_of, which = np.unique(nodes, return_index=True, return_inverse=True)
-    if len(first_of) < len(nodes):  # repeated rows count once
-        own = np.zeros(len(nodes), bool)
-        own[first_of] = True
-        keep = own[owner]
-        keys, owner = keys[keep], owner[keep]
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
@@ -325,7 +328,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     able = facts.join(enough, "node").filter(F.col("held") * 100 >= F.col("size") * percent)
     label = F.coalesce(F.min("id"), F.col("class").bitwiseAND(NO_KEY - 1) + NO_KEY)
     reps = stored(able.groupBy("class", "size").agg(F.min("node").alias("node"), label.alias("label")), folder, "reps")
-    segments = shared.join(reps.select("node", "class", "size"), "node").groupBy("node", "class", "size").agg(F.collect_list(F.struct("fragment", "keys", "often")).alias("segments"))
+    # so few of the rows are wanted that a Bloom filter of the nodes is worth building, if they are not too many for one
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    segments = shared.join(reps.filter("size > 0").select("node", "class", "size"), "node").groupBy("node", "class", "size").agg(F.collect_list(F.struct("fragment", "keys", "often")).alias("segments"))
     sets = stored(segments.select("class", "size", "segments").mapInArrow(_assembled(percent, bits), "class long, size long, grams binary, rare array<long>"), folder, "sets")
 
     # candidate groups: what the rare n-grams connect
