@@ -25,3 +25,14 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch: texts are long, and each of a task's stages holds a batch or two.
+BATCH_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small, unless the session's own setting is smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

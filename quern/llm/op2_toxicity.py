@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._sample import labelled
+from ._store import text_batches
 from ._text import slices
 
 ORDERS = (4, 5, 6)
@@ -132,6 +133,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1)))], names=[key, "score"])
 
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
     return slim.mapInArrow(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, score double")
 

@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import text_batches
+
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
-#: Pieces, and runs between white space, whose counts a worker remembers; beyond that it starts anew.
-REMEMBERED = 700_000
+#: Pieces, and runs between white space, whose counts a worker remembers, each in two generations.
+REMEMBERED = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -74,6 +76,7 @@ class PieceCounts(dict):
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str) -> None:
         super().__init__()
+        self.older: dict[str, int] = {}
         if max(vocab.values()) >= 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 entries")
         letters = byte_letters()
@@ -85,12 +88,16 @@ class PieceCounts(dict):
             self.ranks.setdefault(vocab[a] << 16 | vocab[b], rank)
 
     def __missing__(self, piece: str) -> int:
+        n = self.older.get(piece)
+        if n is None:
+            data = piece.encode()
+            symbols = [self.inner[b] for b in data]
+            symbols[-1] = self.last[data[-1]]
+            n = len(symbols) - heap_merges(symbols, self.ranks, self.merged)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        data = piece.encode()
-        symbols = [self.inner[b] for b in data]
-        symbols[-1] = self.last[data[-1]]
-        n = self[piece] = len(symbols) - heap_merges(symbols, self.ranks, self.merged)
+        self[piece] = n
         return n
 
 
@@ -99,12 +106,17 @@ class ChunkCounts(dict):
 
     def __init__(self, counts: PieceCounts, pieces) -> None:
         super().__init__()
+        self.older: dict[str, int] = {}
         self.counts, self.pieces = counts, pieces
 
     def __missing__(self, chunk: str) -> int:
+        n = self.older.get(chunk)
+        if n is None:
+            n = sum(map(self.counts.__getitem__, self.pieces(chunk)))
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        n = self[chunk] = sum(map(self.counts.__getitem__, self.pieces(chunk)))
+        self[chunk] = n
         return n
 
 
@@ -157,6 +169,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
             n_tokens = pa.array((of(x.as_py() or "") for x in texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n_tokens], names=[key, "n_bytes", "n_tokens"])
 
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
     counted = slim.mapInArrow(count, f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import shared_folder, stored
+from ._store import shared_folder, stored, text_batches
 from ._text import FOLDED_KEY, mix, slices, span_hashes, words
 
 N = 5
@@ -316,6 +316,7 @@ def _merged(labels: DataFrame, links: DataFrame, folder: str, name: str) -> Data
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id (the least key that links reach) of every row."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     bits = min(24, max(6, ceil(log2(max(1, docs.count() * 500 / FRAGMENT_GRAMS)))))
     dealt = slim.mapInArrow(_deal(bits, n), DEALT)

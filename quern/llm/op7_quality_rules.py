@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ._boost import Trees, fit
 from ._sample import labelled
+from ._store import text_batches
 from ._text import slices, span_hashes, words
 
 TRAIN_ROWS = 4000
@@ -136,6 +137,7 @@ def judge(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text"
             columns = [b.column(0), *(pa.array(counts[:, k]) for k in range(len(COUNTS))), pa.array(failed), pa.array(quality), pa.array(~failed & (quality >= keep_above))]
             yield pa.RecordBatch.from_arrays(columns, names=[key, *COUNTS, "base_failed", "quality", "kept"])
 
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
     kinds = ", ".join(f"{c} long" for c in COUNTS)
     return slim.mapInArrow(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, {kinds}, base_failed boolean, quality double, kept boolean")

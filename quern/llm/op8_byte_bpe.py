@@ -16,7 +16,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import ahocorasick
 import public_tokenizers
@@ -25,9 +25,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import text_batches
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces and token pairs that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Pieces, and runs up to a space, that a worker remembers in each of two generations, and token pairs.
+REMEMBERED_PIECES = 60_000
+REMEMBERED = 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,6 +54,7 @@ class Pieces(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.older: dict[str, tuple[int, ...]] = {}
         self.ranks = read_ranks(path)
         size = max(self.ranks.values()) + 1
         self.tokens = [b""] * size
@@ -69,7 +73,7 @@ class Pieces(dict):
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joint bytes of two tokens gives just these two."""
-        if len(self.pairs) >= REMEMBERED:
+        if len(self.pairs) >= 2 * REMEMBERED:
             self.pairs.clear()
         a, b = self.tokens[left], self.tokens[right]
         known = self.pairs[left << 32 | right] = plain_merges(a + b, self.ranks) == [a, b]
@@ -109,11 +113,15 @@ class Pieces(dict):
                 last = ids[-1] if ids else -1
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode()
+            whole = self.ranks.get(data)
+            ids = (whole,) if whole is not None else tuple(self.backtrack(data))
+        if len(self) >= REMEMBERED_PIECES:
+            self.older = dict(self)
             self.clear()
-        data = piece.encode()
-        whole = self.ranks.get(data)
-        ids = self[piece] = (whole,) if whole is not None else tuple(self.backtrack(data))
+        self[piece] = ids
         return ids
 
 
@@ -127,6 +135,7 @@ class Encoder(dict):
 
     def __init__(self, path: str, pattern: str) -> None:
         super().__init__()
+        self.older: dict[str, tuple[int, ...]] = {}
         self.known = Pieces(path)
         self.ranks, self.tokens = self.known.ranks, self.known.tokens
         self.names = [str(i) for i in range(len(self.tokens))]
@@ -136,9 +145,11 @@ class Encoder(dict):
         self.cut = pattern == public_tokenizers.PATTERN
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
+        ids = self.older.get(chunk) or self.whole(f" {chunk}")
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        ids = self[chunk] = self.whole(f" {chunk}")
+        self[chunk] = ids
         return ids
 
     def whole(self, text: str) -> tuple[int, ...]:
@@ -172,6 +183,7 @@ def _mapped(docs: DataFrame, key: str, text: str, path: str | None, pattern: str
                 part = batch.slice(first, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), *make(code, (x.as_py() or "" for x in part.column(1)))], names=names)
 
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
     schema = f"`{key}` {slim.schema[0].dataType.simpleString()}, {schema}"
     names = [key, *(x.split()[0] for x in schema.split(", ")[1:])]
@@ -188,14 +200,21 @@ def decode_ids(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path:
     return _mapped(encoded, key, ids, path, pattern, lambda code, lists: [pa.array([code.decode(list(x)) for x in lists], pa.binary())], "data binary")
 
 
-def _digests(code: Encoder, texts: Iterator[str]) -> list[pa.Array]:
-    counts, of_ids, of_bytes = [], [], []
+def _all(code: Encoder, texts: Iterator[str]) -> list[pa.Array]:
+    counts, lists, of_ids, of_bytes = [], [], [], []
     for text in texts:
         ids = code.encode(text)
         counts.append(len(ids))
+        lists.append(pa.array(ids, pa.int32()))
         of_ids.append(hashlib.sha256(" ".join(map(code.names.__getitem__, ids)).encode()).hexdigest())
         of_bytes.append(hashlib.sha256(code.decode(ids)).hexdigest())
-    return [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+    offsets = pa.array([0, *accumulate(counts)], pa.int32())
+    return [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, pa.concat_arrays(lists)), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+
+
+def _digests(code: Encoder, texts: Iterator[str]) -> list[pa.Array]:
+    counts, _, *digests = _all(code, texts)
+    return [counts, *digests]
 
 
 def encoding_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -203,12 +222,6 @@ def encoding_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     return _mapped(docs, key, text, path, pattern, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _all(code: Encoder, texts: Iterator[str]) -> list[pa.Array]:
-    texts = list(texts)
-    counts, of_ids, of_bytes = _digests(code, iter(texts))
-    return [counts, pa.array([code.encode(x) for x in texts], pa.list_(pa.int32())), of_ids, of_bytes]
-
-
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """key, n_tokens, ids and the digests of encoding_digests."""
     return _mapped(docs, key, text, path, pattern, _all, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

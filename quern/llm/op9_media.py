@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._jpeg import BLOCKS_WIDE, MOST_ROWS, encode, luminance, parse
+from ._store import text_batches
 from ._text import slices
 
 UNIT = 576
@@ -109,6 +110,7 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             for first, end, data, offsets in slices(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(np.diff(offsets)), pa.array(store(data, offsets), pa.binary())], names=[key, "n_bytes", "media"])
 
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
     return slim.mapInArrow(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, media binary")
 
@@ -135,6 +137,7 @@ def read_media(stored: DataFrame, key: str = "doc_id", media: str = "media") ->
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), *media_facts([x.as_py() or b"" for x in b.column(1)])], names=[key, *FACTS])
 
+    text_batches(stored.sparkSession)
     slim = stored.select(F.col(key), F.col(media).alias("_media"))
     return slim.mapInArrow(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, {FACT_KINDS}")
 
@@ -147,6 +150,7 @@ def media_round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             for first, end, data, offsets in slices(b.column(1), READ_BYTES // 2):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(np.diff(offsets)), *media_facts(store(data, offsets))], names=[key, "n_bytes", *FACTS])
 
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
     return slim.mapInArrow(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, {FACT_KINDS}")
 
