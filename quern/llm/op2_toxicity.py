@@ -30,6 +30,8 @@ KEPT = 8000
 #: Texts that must have an n-gram for it to be kept.
 LEAST_TEXTS = 3
 TRAIN_ROWS = 6000
+#: Text bytes whose n-grams the fit holds at a time.
+FIT_BYTES = 1 << 18
 FOLDS = 5
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -85,22 +87,23 @@ def fit(texts: list[str], label: np.ndarray, kept: int = KEPT, penalty: float =
     blank = Model(np.full(1 << BITS, -1, np.int32), np.zeros(0), float(np.log(rate / (1 - rate))))
     if not 0 < positive < len(label):
         return blank
-    rows, found = [], []
-    for first, _, data, offsets in slices(pa.array(texts, pa.string())):
-        r, f = present(data, offsets)
-        rows.append(r + first)
-        found.append(f)
-    rows, found = np.concatenate(rows), np.concatenate(found)
-    hit = label[rows] == 1
-    p, q = (np.bincount(found[x], minlength=1 << BITS) + 1.0 for x in (hit, ~hit))
+    counts = np.zeros((2, 1 << BITS))
+    column = pa.array(texts, pa.string())
+    for first, end, data, offsets in slices(column, FIT_BYTES):
+        rows, found = present(data, offsets)
+        hit = label[first:end][rows] == 1
+        counts += [np.bincount(found[x], minlength=1 << BITS) for x in (hit, ~hit)]
+    p, q = counts + 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     evidence = np.where(p + q - 2 >= LEAST_TEXTS, np.abs(ratio) * np.sqrt(p + q - 2), 0)
     chosen = np.argsort(-evidence, kind="stable")[:kept]
     chosen = np.sort(chosen[evidence[chosen] > 0])
     slot = blank.slot
     slot[chosen] = np.arange(len(chosen))
-    use = slot[found] >= 0
-    rows, found = rows[use], slot[found[use]].astype(np.int64)
+    # only pairs with a chosen n-gram are kept for all texts at once
+    pairs = [(r + first, f) for first, _, data, offsets in slices(column, FIT_BYTES) for r, f in [present(data, offsets, slot)]]
+    rows, found = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    del pairs
     values = ratio[chosen][found]
     norm = np.bincount(rows, values**2, len(label)).max() or 1.0
     w, b, last_w, last_b = np.zeros(len(chosen)), blank.intercept, np.zeros(len(chosen)), blank.intercept
