@@ -133,14 +133,15 @@ def host_priors(rows: DataFrame, languages: list[str]) -> DataFrame:
     hosts = stored(hosts, shared_folder(rows.sparkSession), "hosts")
     pack = lambda: F.array(*(F.coalesce(F.sum(f"c{k}"), F.lit(0.0)) for k in range(n)))
     domains = hosts.groupBy("_domain").agg(pack().alias("of_domain"))
-    whole = hosts.agg(pack().alias("of_all"))
+    of_all = hosts.agg(pack().alias("of_all")).first()[0]  # one number a language
 
     def smooth(counts: Column, towards: Column) -> Column:
         total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
         return F.zip_with(counts, towards, lambda c, p: (c + SMOOTHING * p) / (total + SMOOTHING))
 
     even = F.array(*[F.lit(1.0 / max(n, 1))] * n)
-    domains = domains.crossJoin(F.broadcast(whole)).select(F.col("_domain").alias("_of"), smooth(F.col("of_domain"), smooth(F.col("of_all"), even)).alias("towards"))
+    everywhere = smooth(F.array(*map(F.lit, of_all)), even)
+    domains = domains.select(F.col("_domain").alias("_of"), smooth(F.col("of_domain"), everywhere).alias("towards"))
     counts = F.array(*(F.col(f"c{k}") for k in range(n)))
     return hosts.join(domains, F.col("_domain").eqNullSafe(F.col("_of"))).select(F.col("_host").alias("_of_host"), smooth(counts, F.col("towards")).alias("_prior"))
 
