@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import shared_folder, stored, text_batches
+from ._store import release, released, shared_folder, stored, text_batches
 from ._text import FOLDED_KEY, mix, slices, span_hashes, words
 
 N = 5
@@ -98,6 +98,9 @@ def _joined(column: pa.ChunkedArray | pa.Array) -> bytes:
     return b"".join(x for x in column.to_pylist() if x)
 
 
+#: After groups of so many bytes a worker gives unused memory back.
+RELEASE_BYTES = 1 << 20
+
 DEALT = "fragment long, lot long, nodes binary, counts binary, keys binary, ids array<long>, sizes array<long>, sums array<long>, mixes array<long>"
 
 
@@ -195,6 +198,8 @@ def _count(table: pa.Table) -> pa.Table:
     rows = np.flatnonzero(kept)
     none = pa.nulls(len(rows), pa.int64())
     n = kept[rows]
+    if table.nbytes >= RELEASE_BYTES:
+        release()
     return pa.Table.from_arrays(
         [pa.array(np.full(len(rows), fragment)), pa.array(nodes[rows]), pa.array(n.astype(np.int32)), _binaries(n, KEY_BYTES, _packed(keys)), _binaries(n, 1, np.minimum(often, 255).astype(np.uint8)), *[none] * 4],
         names=names,
@@ -287,6 +292,8 @@ def _linked(percent: int, bits: int):
             moved = np.flatnonzero(label != np.arange(end - first))
             edges.append(np.stack([classes[first + moved], classes[first + label[moved]]]))
         x, y = np.concatenate(edges, 1)
+        if table.nbytes >= RELEASE_BYTES:
+            release()
         return pa.Table.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
     return run
@@ -319,7 +326,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     bits = min(24, max(6, ceil(log2(max(1, docs.count() * 500 / FRAGMENT_GRAMS)))))
-    dealt = slim.mapInArrow(_deal(bits, n), DEALT)
+    dealt = slim.mapInArrow(released(_deal(bits, n)), DEALT)
     parts = stored(dealt.groupBy("fragment").applyInArrow(_count, PARTS), folder, "parts")
 
     class_of = F.xxhash64("size", "sum", "mixed").alias("class")
@@ -332,7 +339,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     # so few of the rows are wanted that a Bloom filter of the nodes is worth building, if they are not too many for one
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     segments = shared.join(reps.filter("size > 0").select("node", "class", "size"), "node").groupBy("node", "class", "size").agg(F.collect_list(F.struct("fragment", "keys", "often")).alias("segments"))
-    sets = stored(segments.select("class", "size", "segments").mapInArrow(_assembled(percent, bits), "class long, size long, grams binary, rare array<long>"), folder, "sets")
+    sets = stored(segments.select("class", "size", "segments").mapInArrow(released(_assembled(percent, bits)), "class long, size long, grams binary, rare array<long>"), folder, "sets")
 
     # candidate groups: what the rare n-grams connect
     rare = sets.select("class", F.explode("rare").alias("token"))

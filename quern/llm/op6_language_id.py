@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._sample import labelled
-from ._store import shared_folder, stored, text_batches
+from ._store import released, shared_folder, stored, text_batches
 from ._text import slices
 from .op10_line_dedup import host as host_of
 from .op10_line_dedup import html_lines
@@ -163,7 +163,7 @@ def identify(rows: DataFrame, model: Model, text: str = "text", host: Column | N
         text_batches(rows.sparkSession)
         slim = rows.select(*columns, *([] if host is None else [host.alias("_host")]), *([] if host is not None else [F.lit(None).cast("string").alias("_host")]), (F.lit(None).cast("string") if declared is None else F.lower(declared)).alias("_declared"), (F.lit(None).cast("string") if suffix is None else F.lower(suffix)).alias("_suffix"), F.col(text).alias("_text"))
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1])
-        found = slim.mapInArrow(run, f"{kinds}, _likelihoods array<double>, _has boolean")
+        found = slim.mapInArrow(released(run), f"{kinds}, _likelihoods array<double>, _has boolean")
         by_suffix = F.create_map(*(F.lit(x) for pair in SUFFIXES.items() for x in pair))[F.coalesce("_suffix", F.lit(""))]
         evidence = _sum(F.col("_likelihoods"), _trusted(F.col("_declared"), languages, TRUST_DECLARED), _trusted(by_suffix, languages, TRUST_SUFFIX))
         return found.withColumn("_evidence", evidence)
