@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import inspect
+import json
+import os
 import uuid
 from collections.abc import Callable
 
@@ -34,6 +36,19 @@ class Engine:
         self.laterals: dict[str, str] = {}
         self.update(**(scope or {}))
 
+    @classmethod
+    def load(cls, path: str, spark: SparkSession | None = None, **options) -> Engine:
+        """A session from a JSON file whose ``setup`` lists statements to run; their paths are relative to the file."""
+        with open(path, encoding="utf-8") as f:
+            setup = json.load(f).get("setup", [])
+        made = cls(spark, basepath=os.path.dirname(os.path.abspath(path)), **options)
+        for statement in setup:
+            made.execute(statement)
+        return made
+
+    def table_names(self) -> list[str]:
+        return sorted(self.scope)
+
     def update(self, **tables) -> None:
         """Adds tables by name."""
         for name, table in tables.items():

@@ -34,6 +34,5 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
 
 
 def lateral_json(df: DataFrame, column: str, alias: str = "j") -> DataFrame:
-    """A row for each member of a JSON object or array in ``column``: ``<alias>_key`` (null in arrays) and ``<alias>_value`` (JSON text)."""
-    exploded = df.select("*", F.explode(F.from_json(column, "map<string,string>")).alias(f"{alias}_key", f"{alias}_value"))
-    return exploded
+    """A row for each member of a JSON object in ``column``: ``<alias>_key`` and ``<alias>_value`` (text); none for null, broken text and arrays."""
+    return df.select("*", F.explode(F.from_json(column, "map<string,string>")).alias(f"{alias}_key", f"{alias}_value"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..operators import as_of, in_column, top_k
 from ..sources import read_table, write_table
-from ..streaming import windowed_counts
+from ..streaming import joined_within, session_counts, windowed_counts, without_repeats
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -112,6 +112,33 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "values_list": ("select a, b from (values (1, 'x'), (2, 'y')) as t(a, b)", None),
     "pg_namespace": ("select nspname from pg_namespace order by nspname asc", "select unnest(['public', 'pg_catalog', 'information_schema']) as nspname"),
     "quoted_names": ("select \"n_name\" as \"the name\" from nation as \"t\" where \"t\".\"n_nationkey\" > 3", None),
+    "filter_not_greater": ("select p_partkey from part where p_size !> 10 and p_size !< 3", "select p_partkey from part where p_size <= 10 and p_size >= 3"),
+    "filter_constant": ("select r_name from region where 1 = 1", None),
+    "filter_escape": ("select c_custkey from customer where c_name not like '%!_%' escape '!' and c_mktsegment ilike 'b%'", None),
+    "filter_similar": ("select p_partkey from part where p_name similar to '[a-m]%' and p_brand not similar to 'x.%'", "select p_partkey from part where regexp_full_match(p_name, '[a-m].*') and not regexp_full_match(p_brand, 'x[.].*')"),
+    "filter_is_true": ("select n_nationkey, (n_nationkey > 3) is true as t, n_nationkey is distinct from null as d from nation", None),
+    "join_theta_right": ("select r_name, n_name from region right join nation on r_regionkey > n_nationkey", None),
+    "join_natural": ("select n_nationkey, n_name from nation a natural join (select n_nationkey from nation where n_regionkey = 1) b", None),
+    "join_comma_one_sided": ("select n_name, r_name from nation, region where n_nationkey > 20", None),
+    "join_equi_theta": ("select a.n_name as x, b.n_name as y from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey", None),
+    "join_on_functions": ("select n_name, r_name from nation join region on substring(n_name, 1, 1) = substring(r_name, 1, 1) and case when n_nationkey > 5 then 1 else 0 end = 1", None),
+    "agg_all_quantifier": ("select count(all p_size) as n, COUNT(p_brand) as m, SUM(p_size)::bigint as s from part", None),
+    "agg_first_value": ("select n_regionkey, first_value(n_name order by n_nationkey asc) as f from nation group by n_regionkey", "select n_regionkey, arg_min(n_name, n_nationkey) as f from nation group by n_regionkey"),
+    "agg_fusion": ("select n_regionkey, array_join(sort_array(fusion(array(n_name, 'x'))), ',') as f, array_join(intersection(array('x', n_name)), ',') as i from nation group by n_regionkey", "select n_regionkey, list_aggregate(list_sort(flatten(list([n_name, 'x']))), 'string_agg', ',') as f, 'x' as i from nation group by n_regionkey"),
+    "agg_of_join": ("select r_name, count(*) as n, count(distinct c_mktsegment) as m from customer, nation, region where c_nationkey = n_nationkey and n_regionkey = r_regionkey group by r_name having count(*) > 1 order by n desc, r_name asc", None),
+    "window_named": ("select o_orderkey, row_number() over w as r, count(*) over w as n from orders window w as (partition by o_custkey order by o_orderkey asc)", None),
+    "window_distribution": ("select o_orderkey, ntile(4) over (order by o_orderkey asc) as q, round(percent_rank() over (partition by o_orderstatus order by o_orderkey asc), 6) as p, round(cume_dist() over (partition by o_orderstatus order by o_orderkey asc), 6) as c from orders", None),
+    "window_over_aggregate": ("select o_custkey, sum(o_totalprice) > 0 as p, rank() over (order by count(*) desc) as r from orders group by o_custkey", None),
+    "window_values": ("select o_orderkey, first_value(o_orderkey) over (partition by o_custkey order by o_orderkey asc) as f, nth_value(o_orderkey, 2) over (partition by o_custkey order by o_orderkey asc) as s from orders", None),
+    "limit_all": ("select r_name from region order by r_name asc limit all", None),
+    "offset_only": ("select n_nationkey from nation order by n_nationkey asc offset 20", None),
+    "sort_nulls_first": ("select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 200000 order by o_orderkey asc nulls first, c_custkey asc limit 20", None),
+    "cte_nested": ("with a as (with b as (select p_brand as x from part) select x from b) select x, count(*) as n from a group by x", None),
+    "subquery_lateral": ("select r_name, t.n from region, lateral (select count(*) as n from nation where n_regionkey = r_regionkey) t", None),
+    "except_all": ("select n_regionkey as k from nation except all select r_regionkey from region", None),
+    "intersect_all": ("select n_regionkey as k from nation intersect all select s_nationkey from supplier", None),
+    "set_precedence": ("select r_regionkey as k from region union select n_nationkey from nation intersect select s_nationkey from supplier", None),
+    "comments": ("select r_name -- the name\n, r_regionkey /* and\n the key */ from region -- end", None),
     "q1_like": ("select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as price, round(avg(l_discount), 6) as disc, count(*) as n from lineitem where l_shipdate <= date '1998-09-02' group by l_returnflag, l_linestatus order by l_returnflag asc, l_linestatus asc", None),
     "q3_like": ("select l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, o_orderdate from customer, orders, lineitem where c_mktsegment = 'BUILDING' and c_custkey = o_custkey and l_orderkey = o_orderkey group by l_orderkey, o_orderdate order by revenue desc, l_orderkey asc limit 10", None),
     "q5_like": ("select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from customer, orders, lineitem, supplier, nation, region where c_custkey = o_custkey and l_orderkey = o_orderkey and l_suppkey = s_suppkey and c_nationkey = n_nationkey and n_regionkey = r_regionkey group by n_name order by revenue desc", None),
@@ -205,6 +232,26 @@ def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "event_type", "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+def _utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = session_counts(_utc(spark, sf_dir), "ts", "user_id", "2 hours")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
+
+
+def _event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_utc(spark, sf_dir), ["user_id", "event_type"], "ts", "1 hour").select("user_id", "event_type")
+
+
+def _event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _utc(spark, sf_dir)
+    later = events.select("user_id", F.col("ts").alias("then"), F.col("event_id").alias("next_id")).filter("next_id % 2 = 1")
+    return joined_within(events.select("user_id", "ts", "event_id").filter("event_id % 2 = 0"), later, "user_id", "ts", "then", "6 hours").select("event_id", "next_id")
+
+
 CALLS = {
     "show_option": (_show, "select 'read only' as value"),
     "udf_scalar": (_udf_scalar, "select n_nationkey, n_nationkey::bigint * 2 as t from nation"),
@@ -216,6 +263,9 @@ CALLS = {
     "in_column": (_in_column, "select n_name from nation where n_nationkey in (select s_nationkey from supplier)"),
     "op_top_k": (_top_k, "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 2"),
     "op_as_of": (_as_of, "with o as (select user_id, ts as at, max(event_id) as last_id from events where event_id % 3 = 0 group by all) select event_id, last_id from events asof left join o on events.user_id = o.user_id and events.ts >= o.at"),
+    "event_sessions": (_event_sessions, "with a as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 2 hours, true) as cut from events), b as (select *, sum(cut::int) over (partition by user_id order by ts rows unbounded preceding) as s from a) select min(ts)::timestamp as start, user_id, count(*) as n from b group by user_id, s"),
+    "event_keys": (_event_keys, "select distinct user_id, event_type from events"),
+    "event_pairs": (_event_pairs, "select a.event_id, b.event_id as next_id from events a join events b on a.user_id = b.user_id and a.event_id % 2 = 0 and b.event_id % 2 = 1 and b.ts between a.ts and a.ts + interval 6 hours"),
     "event_windows": (_event_windows, "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as n from events group by 1, 2"),
 }
 

@@ -43,6 +43,7 @@ class Window(Node):
     partition: tuple[Node, ...] = ()
     order: tuple = ()
     frame: str = ""
+    base: str | None = None  # a window of the WINDOW clause
 
 
 @dataclass(frozen=True)
@@ -177,6 +178,7 @@ class Select(Node):
     having: Node | None = None
     distinct: bool = False
     distinct_on: tuple[Node, ...] = ()
+    windows: tuple[tuple[str, Window], ...] = ()
 
 
 @dataclass(frozen=True)

@@ -33,6 +33,8 @@ def expr(text):
         ("'it''s'", "'it\\'s'"),
         ('"a.b"."c"', "`a.b`.`c`"),
         ("count(distinct x)", "count(DISTINCT `x`)"),
+        ("sum(x) over w", "sum(`x`) OVER `w`"),
+        ("a similar to 'x.[^a]_\\%%'", "(`a` RLIKE '(?s)\\\\A(?:x\\\\.[^a].\\\\%.*)\\\\z')"),
     ],
 )
 def test_render(text, rendered):
@@ -108,3 +110,29 @@ def test_streaming(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("counts").first()["n"] == 1
+
+
+def test_session_file(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("g;i\n0;1\n0;2\n1;5\n")
+    (tmp_path / "scope.json").write_text('{"setup": ["COPY foo FROM \'./t.csv\' WITH delimiter \';\', format \'csv\'"]}')
+    e = Engine.load(str(tmp_path / "scope.json"), spark)
+    assert e.table_names() == ["foo"]
+    assert [tuple(r) for r in e.execute("select g, sum(i) as s from foo group by g order by g").collect()] == [(0, 3), (1, 5)]
+
+
+def test_stream_keys_and_sessions(spark, tmp_path):
+    from quern.streaming import joined_within, session_counts, without_repeats
+
+    spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'a' as kind union all select timestamp'2024-01-01 00:20:00', 'a'").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, kind string").parquet(str(tmp_path / "in"))
+    other = stream.select("kind", stream.ts.alias("then"))
+    frames = {
+        "keys": (without_repeats(stream, ["kind"], "ts", "1 hour"), "append", 1),
+        "sessions": (session_counts(stream, "ts", "kind", "1 hour"), "complete", 1),
+        "pairs": (joined_within(stream, other, "kind", "ts", "then", "1 hour"), "append", 3),
+    }
+    for name, (frame, mode, n) in frames.items():
+        query = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        query.processAllAvailable()
+        query.stop()
+        assert spark.table(name).count() == n
