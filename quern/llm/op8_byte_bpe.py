@@ -28,9 +28,12 @@ from pyspark.sql import functions as F
 from ._store import released, text_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces, and runs up to a space, that a worker remembers in each of two generations, and token pairs.
-REMEMBERED_PIECES = 60_000
+#: Runs up to a space that a worker remembers in each of two generations, and half as many pieces: about 0.5 KB each
+#: in all. More memory saves time where words are many.
 REMEMBERED = 120_000
+REMEMBERED_ALONE = 400_000
+#: Token pairs that a worker remembers.
+REMEMBERED_PAIRS = 240_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,8 +55,9 @@ def plain_merges(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Pieces(dict):
     """Maps pieces of text to tuples of ids, filled in as they are asked for."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int) -> None:
         super().__init__()
+        self.most = most
         self.older: dict[str, tuple[int, ...]] = {}
         self.ranks = read_ranks(path)
         size = max(self.ranks.values()) + 1
@@ -73,7 +77,7 @@ class Pieces(dict):
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joint bytes of two tokens gives just these two."""
-        if len(self.pairs) >= 2 * REMEMBERED:
+        if len(self.pairs) >= REMEMBERED_PAIRS:
             self.pairs.clear()
         a, b = self.tokens[left], self.tokens[right]
         known = self.pairs[left << 32 | right] = plain_merges(a + b, self.ranks) == [a, b]
@@ -118,7 +122,7 @@ class Pieces(dict):
             data = piece.encode()
             whole = self.ranks.get(data)
             ids = (whole,) if whole is not None else tuple(self.backtrack(data))
-        if len(self) >= REMEMBERED_PIECES:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[piece] = ids
@@ -133,10 +137,11 @@ class Encoder(dict):
     that has other text on at least one side; other texts are cut before each run of white space.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, most: int) -> None:
         super().__init__()
+        self.most = most
         self.older: dict[str, tuple[int, ...]] = {}
-        self.known = Pieces(path)
+        self.known = Pieces(path, most // 2)
         self.ranks, self.tokens = self.known.ranks, self.known.tokens
         self.names = [str(i) for i in range(len(self.tokens))]
         self.pieces = regex.compile(pattern).findall
@@ -146,14 +151,14 @@ class Encoder(dict):
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         ids = self.older.get(chunk) or self.whole(f" {chunk}")
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[chunk] = ids
         return ids
 
     def forget(self) -> None:
-        """Drops what was remembered of texts; learning it anew costs a task about 5% more time, keeping it costs a waiting worker 60 MB."""
+        """Drops what was remembered of texts; learning it anew costs a task about 5% more time, keeping it costs a waiting worker memory."""
         for memory in (self, self.older, self.known, self.known.older):
             memory.clear()
 
@@ -174,20 +179,21 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def encoder(path: str, pattern: str, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, pattern, remembered)
 
 
-def _mapped(docs: DataFrame, key: str, text: str, path: str | None, pattern: str | None, make, schema: str) -> DataFrame:
+def _mapped(docs: DataFrame, key: str, text: str, path: str | None, pattern: str | None, make, schema: str, remembered: int = REMEMBERED, keep: bool = False) -> DataFrame:
     path, pattern = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, pattern)
+        code = encoder(path, pattern, remembered)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):  # what a batch makes may be much larger than its texts
                 part = batch.slice(first, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), *make(code, (x.as_py() or "" for x in part.column(1)))], names=names)
-        code.forget()
+        if not keep:
+            code.forget()
 
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
@@ -223,9 +229,9 @@ def _digests(code: Encoder, texts: Iterator[str]) -> list[pa.Array]:
     return [counts, *digests]
 
 
-def encoding_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """key, n_tokens and the digests of the decimal ids and of the bytes that the ids decode to."""
-    return _mapped(docs, key, text, path, pattern, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encoding_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, remembered: int = REMEMBERED, keep: bool = False) -> DataFrame:
+    """key, n_tokens and the digests of the decimal ids and of the bytes that the ids decode to. ``keep``: a worker remembers texts from task to task."""
+    return _mapped(docs, key, text, path, pattern, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", remembered, keep)
 
 
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -234,7 +240,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encoding_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), remembered=REMEMBERED_ALONE, keep=True)
 
 
 QUERIES = {"op8_byte_bpe": op8_byte_bpe}
