@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.llm import op1_mixture, op5_jaccard_join, op6_language_id, op8_byte_bpe, op10_line_dedup
 from quern.llm._store import shared_folder, stored
 
-#: A line in more than this share of a source's documents is boilerplate.
+#: A line in more than this share of a source's distinct documents is boilerplate.
 LINE_RATIO = 0.1
 
 
@@ -24,9 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that are boilerplate of their source, and documents of nothing else; counts the letters left."""
-    cleaned = op10_line_dedup.without_boilerplate(docs, "source", ratio=LINE_RATIO)
-    cleaned = cleaned.filter("_dropped = 0 or _dropped < _lines")
+    """Drops lines that are boilerplate of their source; counts the letters left. Copies, and documents of nothing else, are left to the next stage."""
+    cleaned = op10_line_dedup.without_boilerplate(docs, "source", ratio=LINE_RATIO, spare_copies=True)
     letters = F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", letters).select(docs.columns)
 

@@ -7,7 +7,9 @@ a row / ratio) of them, however many rows it has.
 Defined results: rows of a null site form one site; a null text stays null and has no lines; lines
 are compared without the spaces around them, and blank lines are never counted or dropped; a line that
 a row repeats counts once for it and goes with all its repetitions; sites with fewer rows than
-``least_rows`` keep all lines; repeated rows count each; an empty table gives an empty result.
+``least_rows`` keep all lines; repeated rows count each; an empty table gives an empty result. With
+``spare_copies``, rows of a site that have the same lines count as one row, also towards ``least_rows``,
+and a row of nothing but boilerplate keeps its text, so that no text is dropped whole.
 """
 
 from __future__ import annotations
@@ -25,26 +27,31 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(rows: DataFrame, site: str, text: str, ratio: float = RATIO, least_rows: int = LEAST_ROWS) -> DataFrame:
+def boilerplate(rows: DataFrame, site: str, text: str, ratio: float = RATIO, least_rows: int = LEAST_ROWS, spare_copies: bool = False) -> DataFrame:
     """site, lines array<long>: the hashes of each site's lines above the ratio; sites without one are left out."""
     lines = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != ""), _key))
-    seen = rows.select(F.col(site).alias("site"), F.explode(lines).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
+    counted = rows.select(F.col(site).alias("site"), lines.alias("lines"))
+    if spare_copies:
+        counted = counted.distinct()
+    seen = counted.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
     # one that is alone on its line cannot pass the ratio on a site of least_rows rows
     seen = seen.filter(F.col("n") > ratio * least_rows)
-    sites = rows.groupBy(F.col(site).alias("site")).agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_rows)
+    sites = counted.groupBy("site").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_rows)
     often = seen.join(sites, seen["site"].eqNullSafe(sites["site"])).filter(F.col("n") > ratio * F.col("rows"))
     return often.groupBy(seen["site"]).agg(F.collect_list("line").alias("lines"))
 
 
-def without_boilerplate(rows: DataFrame, site: str, text: str = "text", ratio: float = RATIO, least_rows: int = LEAST_ROWS) -> DataFrame:
+def without_boilerplate(rows: DataFrame, site: str, text: str = "text", ratio: float = RATIO, least_rows: int = LEAST_ROWS, spare_copies: bool = False) -> DataFrame:
     """``rows`` with the text rid of its site's boilerplate, and ``_lines`` and ``_dropped`` counts (long) after it."""
-    found = stored(boilerplate(rows, site, text, ratio, least_rows), shared_folder(rows.sparkSession), "boilerplate")
+    found = stored(boilerplate(rows, site, text, ratio, least_rows, spare_copies), shared_folder(rows.sparkSession), "boilerplate")
     found = found.select(F.col("site").alias("_site"), F.col("lines").alias("_found"))
     lines, bad = F.split(F.col(text), "\n"), F.col("_found")
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(bad, _key(x)))
     filled = lambda xs: F.coalesce(F.size(F.filter(xs, lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
     n = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(filled(lines))
     dropped = F.when(bad.isNull() | F.col(text).isNull(), F.lit(0).cast("long")).otherwise(filled(lines) - filled(kept))
+    if spare_copies:
+        dropped = F.when(dropped < n, dropped).otherwise(F.lit(0).cast("long"))
     joined = rows.join(found, F.col(site).eqNullSafe(F.col("_site")), "left")
     columns = [F.when(dropped > 0, F.array_join(kept, "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in rows.columns]
     return joined.select(*columns, n.alias("_lines"), dropped.alias("_dropped"))

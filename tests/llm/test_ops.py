@@ -247,6 +247,19 @@ def test_lines(spark, odd):
     assert op10_line_dedup.without_boilerplate(odd, "source").count() == 10
 
 
+def test_pipeline_lines_of_copies(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    one, two = (" ".join(f"{w}{i}" for i in range(9)) for w in "xy")
+    texts = [f"{one}\n{two}"] * 10 + [f"menu\nown {i} words of this one" for i in range(18)] + ["menu"] * 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], schema)
+    lines = corpus_pipeline.drop_lines(spark, docs, "")
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in lines.collect()) == [(i, x := t.removeprefix("menu\n"), len(x)) for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, lines, "").collect()}
+    assert kept == {0, *range(10, 29)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
