@@ -247,6 +247,13 @@ def test_lines(spark, odd):
     assert op10_line_dedup.without_boilerplate(odd, "source").count() == 10
 
 
+def test_menu_lines(spark, tmp_path):
+    pages = [(i, "http://big.org/", "<p>menu</p>" * (i < 4) + f"<p>own {i}</p>") for i in range(20)] + [(i, "http://small.org/", f"<p>own {i}</p>") for i in range(20, 25)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = llm.queries()["op10_line_dedup_menus"](spark, str(tmp_path)).collect()
+    assert {(r.page_id, r.n_lines, r.n_dropped) for r in found} == {(i, 1 + (i < 4), int(i < 4)) for i in range(25)}
+
+
 def test_pipeline_lines_of_copies(spark):
     import corpus_pipeline
 
