@@ -227,6 +227,12 @@ def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of(events, orders, ["user_id"], "ts", "at", ["last_id"]).select("event_id", "last_id")
 
 
+def _as_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    earlier = events.groupBy("user_id", (F.col("ts") + F.expr("interval 1 hour")).alias("at")).agg(F.max("event_id").alias("last_id"))
+    return as_of(events, earlier, ["user_id"], "ts", "at", ["last_id"]).select("event_id", "last_id")
+
+
 def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "event_type", "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
@@ -252,6 +258,12 @@ def _event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_within(events.select("user_id", "ts", "event_id").filter("event_id % 2 = 0"), later, "user_id", "ts", "then", "6 hours").select("event_id", "next_id")
 
 
+def _event_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _utc(spark, sf_dir).select("user_id", "ts", "event_id")
+    later = events.select("user_id", F.col("ts").alias("then"), F.col("event_id").alias("next_id"))
+    return joined_within(events, later, "user_id", "ts", "then", "6 hours").filter("event_id <> next_id").select("event_id", "next_id")
+
+
 CALLS = {
     "show_option": (_show, "select 'read only' as value"),
     "udf_scalar": (_udf_scalar, "select n_nationkey, n_nationkey::bigint * 2 as t from nation"),
@@ -263,9 +275,11 @@ CALLS = {
     "in_column": (_in_column, "select n_name from nation where n_nationkey in (select s_nationkey from supplier)"),
     "op_top_k": (_top_k, "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 2"),
     "op_as_of": (_as_of, "with o as (select user_id, ts as at, max(event_id) as last_id from events where event_id % 3 = 0 group by all) select event_id, last_id from events asof left join o on events.user_id = o.user_id and events.ts >= o.at"),
+    "op_as_of_all": (_as_of_all, "with o as (select user_id, ts + interval 1 hour as at, max(event_id) as last_id from events group by all) select event_id, last_id from events asof left join o on events.user_id = o.user_id and events.ts >= o.at"),
     "event_sessions": (_event_sessions, "with a as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 2 hours, true) as cut from events), b as (select *, sum(cut::int) over (partition by user_id order by ts rows unbounded preceding) as s from a) select min(ts)::timestamp as start, user_id, count(*) as n from b group by user_id, s"),
     "event_keys": (_event_keys, "select distinct user_id, event_type from events"),
     "event_pairs": (_event_pairs, "select a.event_id, b.event_id as next_id from events a join events b on a.user_id = b.user_id and a.event_id % 2 = 0 and b.event_id % 2 = 1 and b.ts between a.ts and a.ts + interval 6 hours"),
+    "event_pairs_all": (_event_pairs_all, "select a.event_id, b.event_id as next_id from events a join events b on a.user_id = b.user_id and a.event_id <> b.event_id and b.ts between a.ts and a.ts + interval 6 hours"),
     "event_windows": (_event_windows, "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as n from events group by 1, 2"),
 }
 
