@@ -83,15 +83,26 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.select(F.concat("header", body, end).alias("record"), "header", "payload")
 
 
+def _past_head(block: Column) -> Column:
+    """What follows the first empty line of some bytes."""
+    head = F.octet_length(F.substring_index(block.cast("string"), "\r\n\r\n", 1))
+    return F.substring(block, head + 5, F.octet_length(block))
+
+
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, from headers and verified payloads."""
-    facts = verified(spark, folder).select("digest", F.length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
-    records = spark.read.parquet(f"{folder}/records").join(facts, "digest")
-    number = lambda name: F.regexp_extract(F.coalesce(header_field(F.col("header"), name), F.lit("")), r"urn:page:(-?\d+)>", 1).try_cast("long")
-    same = F.when(header_field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest"))
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, from the bytes of the rebuilt records; a revisit has the payload that it revisits."""
+    records = read_records(spark, folder).select("record", "payload", F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1).cast("binary").alias("head"))
+    field = lambda name: header_field(F.col("head"), name)
+    number = lambda name: F.regexp_extract(F.coalesce(field(name), F.lit("")), r"urn:page:(-?\d+)>", 1).try_cast("long")
+    block = F.substring(_past_head(F.col("record")), F.lit(1), field("Content-Length").cast("int"))
+    own = F.when(field("WARC-Type") == "response", _past_head(block)).otherwise(F.col("payload"))
+    records = records.select(
+        number("WARC-Record-ID").alias("page_id"), own.alias("own"), field("WARC-Payload-Digest").alias("digest"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"),
+    )
+    found = base32(F.sha1("own"))
+    same = F.when(F.col("digest") == F.concat(F.lit("sha1:"), found), found)
     return records.select(
-        number("WARC-Record-ID").alias("page_id"), "payload_bytes", F.coalesce(same, F.raise_error(F.lit("a header and its payload differ"))).alias("payload_digest"),
-        header_field(F.col("header"), "WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"),
+        "page_id", F.octet_length("own").cast("long").alias("payload_bytes"), F.coalesce(same, F.raise_error(F.lit("a header and its payload differ"))).alias("payload_digest"), "record_type", "refers_to",
     )
 
 

@@ -122,6 +122,16 @@ def test_warc(spark, tmp_path):
         assert (b"Type: response" in head) == body[:length].endswith(b"\r\n\r\n" + payload) or not payload
 
 
+def test_warc_index_reads_records(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "one\r\n\r\ntwo"), (2, "u", "WARC-Refers-To: <urn:page:7>\r\n")], "page_id long, url string, html string")
+    op4_warc_store.write_archive(pages, str(tmp_path / "w"))
+    found = op4_warc_store.read_index(spark, str(tmp_path / "w")).collect()
+    assert {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in found} == {(1, "response", None, 10), (2, "response", None, 30)}
+    whole = op4_warc_store.read_records
+    monkeypatch.setattr(op4_warc_store, "read_records", lambda *a: whole(*a).limit(1))
+    assert op4_warc_store.read_index(spark, str(tmp_path / "w")).count() == 1
+
+
 def brute_components(docs):
     sets = {}
     for i, t in docs:
