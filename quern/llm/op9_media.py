@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._jpeg import BLOCKS_WIDE, MOST_ROWS, encode, luminance, parse
-from ._store import text_batches
+from ._store import shared_folder, stored, text_batches
 from ._text import slices
 
 UNIT = 576
@@ -130,16 +130,18 @@ FACTS = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_
 FACT_KINDS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def read_media(stored: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """key and FACTS of stored values; null counts as no bytes."""
+def read_media(table: DataFrame, key: str = "doc_id", media: str = "media", also: Sequence[str] = ()) -> DataFrame:
+    """key, the columns ``also`` and FACTS of stored values; null counts as no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), *media_facts([x.as_py() or b"" for x in b.column(1)])], names=[key, *FACTS])
+            *own, values = b.columns
+            yield pa.RecordBatch.from_arrays([*own, *media_facts([x.as_py() or b"" for x in values])], names=[key, *also, *FACTS])
 
-    text_batches(stored.sparkSession)
-    slim = stored.select(F.col(key), F.col(media).alias("_media"))
-    return slim.mapInArrow(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, {FACT_KINDS}")
+    text_batches(table.sparkSession)
+    slim = table.select(key, *also, F.col(media).alias("_media"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1])
+    return slim.mapInArrow(run, f"{kinds}, {FACT_KINDS}")
 
 
 def media_round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,7 +158,9 @@ def media_round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The facts of a media column that is written as a table and read again."""
+    media = stored(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), shared_folder(spark), "media")
+    return read_media(media, "doc_id", "media", ["n_bytes"])
 
 
 QUERIES = {"op9_media": op9_media}

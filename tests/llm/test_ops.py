@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import quern.llm as llm
-from quern.llm import _jpeg, op1_mixture, op2_toxicity, op3_token_counts, op4_warc_store, op5_jaccard_join, op6_language_id, op7_quality_rules, op8_byte_bpe, op9_media, op10_line_dedup
+from quern.llm import _jpeg, _store, op1_mixture, op2_toxicity, op3_token_counts, op4_warc_store, op5_jaccard_join, op6_language_id, op7_quality_rules, op8_byte_bpe, op9_media, op10_line_dedup
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -232,6 +232,14 @@ def test_media_round_trip(texts):
         assert payload[: len(raw)] == raw and set(payload[len(raw) :]) <= {255} and len(payload) == max(1, -(-len(raw) // 576)) * 576
 
 
+def test_media_query_stores_its_column(spark, monkeypatch):
+    written, whole = [], _store.stored
+    monkeypatch.setattr(op9_media, "stored", lambda df, *a: written.append(df.columns) or whole(df, *a), raising=False)
+    found = op9_media.op9_media(spark, SF)
+    assert written == [["doc_id", "n_bytes", "media"]]
+    assert sorted(found.collect()) == sorted(op9_media.media_round_trip(spark.read.parquet(f"{SF}/documents.parquet")).select(found.columns).collect())
+
+
 def test_media(odd, monkeypatch):
     found = op9_media.media_round_trip(odd).collect()
     assert len(found) == 10
