@@ -156,6 +156,18 @@ def _statement(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir, sql).execute(sql)
 
 
+def _placed(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """All rows of a sorted statement, without its limit, and the place of each in that order."""
+    sql = re.sub(r" limit \d+$", "", STATEMENTS[name][0])
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = engine(spark, sf_dir, sql).execute(sql)
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        return spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), f"{kinds}, place long")
+
+    return run
+
+
 def _show(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).execute("show transaction isolation level")
 
@@ -276,6 +288,9 @@ CALLS = {
     "op_top_k": (_top_k, "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 2"),
     "op_as_of": (_as_of, "with o as (select user_id, ts as at, max(event_id) as last_id from events where event_id % 3 = 0 group by all) select event_id, last_id from events asof left join o on events.user_id = o.user_id and events.ts >= o.at"),
     "op_as_of_all": (_as_of_all, "with o as (select user_id, ts + interval 1 hour as at, max(event_id) as last_id from events group by all) select event_id, last_id from events asof left join o on events.user_id = o.user_id and events.ts >= o.at"),
+    "sort_ordinal_all": (_placed("sort_ordinal"), "select o_custkey, o_orderkey, row_number() over (order by o_custkey asc, o_orderkey desc) as place from orders"),
+    "sort_expr_all": (_placed("sort_expr"), "select c_custkey, row_number() over (order by 0 - c_acctbal asc nulls last, c_custkey asc) as place from customer"),
+    "sort_nulls_first_all": (_placed("sort_nulls_first"), "select c_custkey, o_orderkey, row_number() over (order by o_orderkey asc nulls first, c_custkey asc) as place from customer left join orders on c_custkey = o_custkey and o_totalprice > 200000"),
     "event_sessions": (_event_sessions, "with a as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 2 hours, true) as cut from events), b as (select *, sum(cut::int) over (partition by user_id order by ts rows unbounded preceding) as s from a) select min(ts)::timestamp as start, user_id, count(*) as n from b group by user_id, s"),
     "event_keys": (_event_keys, "select distinct user_id, event_type from events"),
     "event_pairs": (_event_pairs, "select a.event_id, b.event_id as next_id from events a join events b on a.user_id = b.user_id and a.event_id % 2 = 0 and b.event_id % 2 = 1 and b.ts between a.ts and a.ts + interval 6 hours"),

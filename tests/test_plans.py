@@ -18,6 +18,12 @@ def test_event_joins_read_whole_tables(spark, tmp_path):
     assert run("op_as_of_all") == [(0, None), (1, 0), (2, 1), (3, 2)]
 
 
+@pytest.mark.parametrize("name,least", [("sort_ordinal", 26), ("sort_expr", 16), ("sort_nulls_first", 21)])
+def test_sorts_return_all_rows(spark, name, least):
+    places = [r.place for r in plans.queries()[f"{name}_all"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(places) >= least and sorted(places) == [*range(1, len(places) + 1)]
+
+
 def test_entry_imports():
     import __spark_entry__
 
