@@ -13,9 +13,11 @@ import numpy as np
 
 BLOCKS_WIDE = 24
 MOST_ROWS = 8184  # of blocks in an image; 65,535 lines are the format's limit
-#: Code lengths and categories of the usual luminance DC table.
-DC_LENGTHS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
-DC_VALUES = tuple(range(12))
+#: A DC code of 15 - c bits for category c, its c bits and one bit for the end of the block make two whole bytes a
+#: block. So equal runs of samples are equal runs of bytes, which the table's compression finds, and as no code begins
+#: with eight ones no byte is 255.
+DC_LENGTHS = (*[0] * 6, *[1] * 9, 0)
+DC_VALUES = tuple(range(8, -1, -1))
 #: The only AC symbol that flat blocks need: end of block, in one bit.
 AC_LENGTHS = (1, *[0] * 15)
 AC_VALUES = (0,)
@@ -40,19 +42,20 @@ def lookup(lengths: tuple[int, ...], values: tuple[int, ...]) -> np.ndarray:
     return table
 
 
-def _block_bits() -> tuple[np.ndarray, np.ndarray]:
-    """Bits and their number for a flat block, by the difference of its DC value from the last one's, plus 255."""
+def _block_bytes() -> np.ndarray:
+    """The two bytes of a flat block, by the difference of its DC value from the last one's, plus 255."""
     by_category = {value: (code, length) for code, length, value in codes(DC_LENGTHS, DC_VALUES)}
-    bits, widths = np.zeros(511, np.int64), np.zeros(511, np.int64)
+    out = np.zeros(511, ">u2")
     for d in range(-255, 256):
         category = abs(d).bit_length()
         code, length = by_category[category]
-        bits[d + 255] = (code << category | (d if d >= 0 else d + (1 << category) - 1)) << 1
-        widths[d + 255] = length + category + 1
-    return bits, widths
+        if length + category != 15:
+            raise ValueError("a block has to fill two bytes")
+        out[d + 255] = (code << category | (d if d >= 0 else d + (1 << category) - 1)) << 1
+    return out
 
 
-_BITS, _WIDTHS = _block_bits()
+_BYTES = _block_bytes()
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -69,39 +72,18 @@ def _header(rows: int) -> bytes:
     ))
 
 
-def encode(samples: np.ndarray, rows: np.ndarray) -> list[bytes]:
-    """An image for each number of block rows in ``rows``, of one flat block a sample (uint8)."""
-    values = samples.astype(np.int64).reshape(-1, BLOCKS_WIDE) - 128
-    at = values + 255
-    at[:, 1:] -= values[:, :-1]
-    bits, widths = _BITS[at], _WIDTHS[at]
-    ends = np.cumsum(widths, 1)
-    n_bytes = (ends[:, -1] + 7) >> 3
-    starts = np.concatenate([[0], np.cumsum(n_bytes)])
-    packed = np.zeros(starts[-1] + 3, np.uint8)
-    for k in range(BLOCKS_WIDE):
-        place = ends[:, k] - widths[:, k]
-        window = bits[:, k] << (24 - (place & 7) - widths[:, k])
-        byte = starts[:-1] + (place >> 3)
-        packed[byte] |= (window >> 16).astype(np.uint8)
-        packed[byte + 1] |= (window >> 8 & 255).astype(np.uint8)
-        packed[byte + 2] |= (window & 255).astype(np.uint8)
-    packed[starts[1:] - 1] |= ((1 << (n_bytes * 8 - ends[:, -1])) - 1).astype(np.uint8)
-    packed = packed[: starts[-1]]
-    # room for a zero after each 255 and a restart marker after each row
-    full = packed == 255
-    shift = np.cumsum(full) - full + 2 * np.repeat(np.arange(len(n_bytes)), n_bytes)
-    spots = np.arange(len(packed)) + shift
-    row_ends = spots[starts[1:] - 1] + 1 + full[starts[1:] - 1]
-    out = np.zeros(row_ends[-1] + 2, np.uint8)
-    out[spots] = packed
-    first = np.concatenate([[0], np.cumsum(rows)])
-    in_image = np.arange(len(n_bytes)) - np.repeat(first[:-1], rows)
-    out[row_ends] = 255
-    out[row_ends + 1] = 0xD0 + in_image % 8
-    out[row_ends[first[1:] - 1] + 1] = 0xD9
-    cuts = np.concatenate([[0], row_ends[first[1:] - 1] + 2])
-    return [_header(int(n)) + out[a:b].tobytes() for n, a, b in zip(rows, cuts, cuts[1:], strict=False)]
+def encode(samples: np.ndarray) -> bytes:
+    """The image of one flat block a sample (uint8); BLOCKS_WIDE samples make a row of blocks and a restart interval."""
+    values = samples.reshape(-1, BLOCKS_WIDE).astype(np.int16)
+    rows = len(values)
+    steps = values + 127  # of the first of a row: from 128, plus 255
+    steps[:, 1:] += 128 - values[:, :-1]
+    out = np.empty((rows, 2 * BLOCKS_WIDE + 2), np.uint8)
+    out[:, :-2] = _BYTES[steps].view(np.uint8)
+    out[:, -2] = 255
+    out[:, -1] = 0xD0 + np.arange(rows) % 8
+    out[-1, -1] = 0xD9
+    return _header(rows) + out.tobytes()
 
 
 @dataclass
@@ -166,6 +148,8 @@ def parse(data: bytes, at: int = 0) -> Image:
     return image
 
 
+#: Scan bytes, about, that are decoded in step; each takes some 20 bytes of memory.
+STEP_BYTES = 1 << 20
 _tables: dict[tuple, np.ndarray] = {}
 
 
@@ -182,8 +166,10 @@ def luminance(data: np.ndarray, images: list[Image]) -> list[np.ndarray]:
         groups.setdefault((tuple(x.parts), tuple((x.tables[d], x.tables[a]) for d, a in x.use)), []).append(i)
     out: list = [None] * len(images)
     for (parts, use), members in groups.items():
-        for i, thumb in zip(members, _in_step(data, [images[i] for i in members], parts, use), strict=True):
-            out[i] = thumb
+        ends = np.cumsum([images[i].end - images[i].begin for i in members])
+        for run in np.split(np.array(members), np.flatnonzero(np.diff(ends // STEP_BYTES)) + 1):
+            for i, thumb in zip(run, _in_step(data, [images[i] for i in run], parts, use), strict=True):
+                out[i] = thumb
     return out
 
 
@@ -205,8 +191,11 @@ def _in_step(data: np.ndarray, images: list[Image], parts: tuple, use: tuple) ->
     keep[restarts] = keep[restarts + 1] = False
     stands = np.concatenate([[0], np.cumsum(keep)])
     starts = stands[np.sort(np.concatenate([begins[:-1], restarts + 2]))]
-    padded = np.concatenate([scans[keep], np.full(8, 255, np.uint8)]).astype(np.int64)
-    ahead = padded[:-3] << 24 | padded[1:-2] << 16 | padded[2:-1] << 8 | padded[3:]
+    padded = np.concatenate([scans[keep], np.full(8, 255, np.uint8)])
+    ahead = np.zeros(len(padded) - 3, np.int64)
+    for k in range(4):
+        ahead <<= 8
+        ahead |= padded[k : len(padded) - 3 + k]
 
     each = []
     for x, n in zip(images, mcus, strict=True):

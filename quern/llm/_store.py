@@ -8,34 +8,70 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this process has made, by session.
+_made: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; where that is unset, below a temporary folder of this process."""
+    """A new folder name below ``spark.checkpoint.dir``, which a cluster must set. Where it is unset on one machine, below a temporary folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quern-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+def stored(df: DataFrame, folder: str, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written once as Parquet and read back: cuts lineage, survives lost executors."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", compression) if compression else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a stored table, or a folder of them, that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this session; results that have not been written must not be read afterwards."""
+    for folder in _made.pop(spark.sparkContext.applicationId, []):
+        discard(spark, folder)
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for jobs that run inside the block, with __ for a dot; put back afterwards."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 #: Rows of an Arrow batch: texts are long, and each of a task's stages holds a batch or two.
 BATCH_ROWS = 2000
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of texts small, unless the session's own setting is smaller."""
+    """Keeps Arrow batches of texts small, unless the session's own setting is smaller. The setting stays: results run later."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 #: Text bytes handled at a time; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 21
@@ -15,16 +16,17 @@ SLICE_BYTES = 1 << 21
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 IN_WORD = ~SPACE
+FEED = np.zeros(256, bool)
+FEED[10] = True
 
-_rng = np.random.default_rng(20240607)
-#: A random 64-bit value for each byte; A-Z share those of a-z in the second table.
-BYTE_KEY = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-FOLDED_KEY = BYTE_KEY.copy()
-FOLDED_KEY[65:91] = BYTE_KEY[97:123]
+#: Bytes with A-Z as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
+#: What is left of a span, at most 8 bytes, picks the bytes of a lane that count.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,33 +61,82 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, up to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, equal for equal spans.
 
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray = BYTE_KEY) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal spans."""
-    up, down = _tables(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(keys[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    Spans are taken in lanes of 8 bytes, each of which is mixed in by a bijection, so different spans of one lane
+    never share a hash; long spans are hashed by XXH3.
+    """
+    sizes = ends - starts
+    found = mix(sizes.astype(np.uint64))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    rest = np.flatnonzero(sizes <= LONG_SPAN) if len(sizes) and sizes.max() > LONG_SPAN else np.arange(len(sizes))
+    at = 0
+    while len(rest := rest[sizes[rest] > at]):
+        left = np.minimum(sizes[rest] - at, 8)
+        found[rest] = mix(found[rest] ^ (lanes[starts[rest] + at] & _LANE[left]))
+        at += 8
+    for i in np.flatnonzero(sizes > LONG_SPAN):
+        found[i] = xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return found
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the index of the first word of each row (n + 1 entries)."""
+    edges = np.empty(len(data) + 1, bool)  # whether a place is in a word and the one before is not, or the other way round
     inside = IN_WORD[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    begins, closes = inside.copy(), inside.copy()
-    if len(data):
-        begins[1:] &= ~inside[:-1] | cut[1:-1]
-        closes[:-1] &= ~inside[1:] | cut[1:-1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+    if not len(data):
+        return (none := np.zeros(0, np.int64)), none, np.zeros(len(offsets), np.int64)
+    edges[0], edges[-1] = inside[0], inside[-1]
+    np.not_equal(inside[1:], inside[:-1], out=edges[1:-1])
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    joined = inner[inside[inner - 1] & inside[inner]]  # rows that meet without white space
+    places = np.flatnonzero(edges)
+    if len(joined):
+        places = np.sort(np.concatenate([places, np.repeat(np.unique(joined), 2)]))
+    starts, ends = places[::2], places[1::2]
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def pieces(data: np.ndarray, limit: int = SLICE_BYTES, cut: np.ndarray = SPACE) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of about ``limit`` bytes of one text, each but the first beginning with one of the bytes ``cut``; what has none of them is not cut."""
+    first = 0
+    while first < len(data):
+        end = first + limit
+        while end < len(data):
+            spots = np.flatnonzero(cut[data[end : end + limit]])
+            if len(spots):
+                end += int(spots[0])
+                break
+            end += limit
+        end = min(end, len(data))
+        yield first, end
+        first = end
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the index of the first word of each row (n + 1 entries); ``letters``: what each byte counts as. One long text is taken in pieces."""
+    if len(offsets) != 2:
+        starts, ends, first = words(data, offsets)
+        return span_hashes(data if letters is None else letters[data], starts, ends), first
+    found = [np.zeros(0, np.uint64)]
+    for a, b in pieces(data):
+        starts, ends, _ = words(data[a:b], np.array([0, b - a]))
+        found.append(span_hashes(data[a:b] if letters is None else letters[data[a:b]], starts, ends))
+    hashes = np.concatenate(found)
+    return hashes, np.array([0, len(hashes)])
+
+
+#: Odd, so that a step of ``chained`` loses nothing.
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def chained(parts: list[np.ndarray], seed: int) -> np.ndarray:
+    """A 64-bit hash of each row of ``parts``, in their order."""
+    total = np.full(len(parts[0]), seed, np.uint64)
+    for x in parts:
+        total += x
+        total *= STEP
+        total ^= total >> np.uint64(29)
+    return mix(total)

@@ -3,9 +3,11 @@
 The vocabulary is a ``tokenizers`` JSON file with a word-end suffix. A word's count is its number of
 initial symbols minus the merges made; no identifiers are produced.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each by
-itself; an empty table gives an empty result; columns other than the key and the text are not read.
-Special strings (``<|endoftext|>`` and the like) inside a text count as one token each.
+Defined results: a null text counts as empty (0 bytes, 0 tokens); a very long text is counted whole, in
+windows that end before a space; a text of just the limit is not over it; repeated rows are counted each
+by itself and get equal values; an empty table gives an empty result; columns other than the key and the
+text are not read, so their names may be any. Special strings (``<|endoftext|>`` and the like) inside a
+text count as one token each.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
 
 import public_tokenizers
@@ -24,12 +27,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import text_batches
+from ._store import released, text_batches
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
-#: Pieces, and runs between white space, whose counts a worker remembers, each in two generations.
+#: Pieces, and runs between white space, whose counts a worker remembers, each in two generations: about 0.2 KB
+#: each, as longer ones than REMEMBERED_CHARS are not remembered.
 REMEMBERED = 200_000
+REMEMBERED_CHARS = 48
+#: Characters of a text that are counted in one go.
+WINDOW = 1 << 20
+#: Pieces of more bytes are merged in arrays, which take less memory than lists.
+LONG_PIECE = 1 << 12
 
 
 def byte_letters() -> list[str]:
@@ -47,7 +56,9 @@ def heap_merges(symbols: list[int], ranks: dict[int, int], merged: list[int]) ->
     has been merged away meanwhile are passed over.
     """
     n = len(symbols)
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    row = list if n < LONG_PIECE else partial(array, "i")
+    symbols, before, after = row(symbols), row(range(-1, n - 1)), row(range(1, n + 1))
+    after[-1] = -1
     rank_of = ranks.get
     heap = [r << 32 | i for i in range(n - 1) if (r := rank_of(symbols[i] << 16 | symbols[i + 1])) is not None]
     heapify(heap)
@@ -94,6 +105,8 @@ class PieceCounts(dict):
             symbols = [self.inner[b] for b in data]
             symbols[-1] = self.last[data[-1]]
             n = len(symbols) - heap_merges(symbols, self.ranks, self.merged)
+        if len(piece) > REMEMBERED_CHARS:
+            return n
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -113,6 +126,8 @@ class ChunkCounts(dict):
         n = self.older.get(chunk)
         if n is None:
             n = sum(map(self.counts.__getitem__, self.pieces(chunk)))
+        if len(chunk) > REMEMBERED_CHARS:
+            return n
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -140,8 +155,13 @@ class Counter:
     def __call__(self, text: str) -> int:
         if not text:
             return 0
+        n, first = 0, 0
+        while len(text) - first > WINDOW and (at := text.find(" ", first + WINDOW)) >= 0:
+            n, first = n + self(text[first:at]), at
+        if first:
+            text = text[first:]
         parts = self.special.split(text) if self.special else [text]
-        n = len(parts) - 1
+        n += len(parts) - 1
         for part in parts:
             if not part.isascii():
                 # letters are lowered one by one, without the rule for a final sigma
@@ -151,6 +171,11 @@ class Counter:
             n += sum(map(self.counts.__getitem__, chunks))
         return n
 
+    def forget(self) -> None:
+        """Drops what was remembered of texts: kept from task to task it costs a waiting worker memory."""
+        for memory in (self.counts, self.counts.older, self.counts.counts, self.counts.counts.older):
+            memory.clear()
+
 
 @lru_cache(maxsize=4)
 def counter(path: str) -> Counter:
@@ -168,10 +193,11 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
             n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             n_tokens = pa.array((of(x.as_py() or "") for x in texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n_tokens], names=[key, "n_bytes", "n_tokens"])
+        of.forget()
 
     text_batches(docs.sparkSession)
-    slim = docs.select(F.col(key), F.col(text).alias("_text"))
-    counted = slim.mapInArrow(count, f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
+    slim = docs.select(docs[f"`{key}`"].alias(key), docs[f"`{text}`"].alias("text"))
+    counted = slim.mapInArrow(released(count), f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ._boost import Trees, fit
 from ._sample import labelled
-from ._store import text_batches
-from ._text import slices, span_hashes, words
+from ._store import released, text_batches
+from ._text import FEED, IN_WORD, SPACE, chained, pieces, slices, span_hashes, words
 
 TRAIN_ROWS = 4000
 LEAST_WORDS = 20
@@ -48,54 +48,59 @@ def _repeated_words(hashes: np.ndarray) -> int:
     n = len(hashes) - WINDOW + 1
     if n < 2:
         return 0
-    mixed = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        mixed = (mixed + hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
+    mixed = chained([hashes[k : k + n] for k in range(WINDOW)], WINDOW)
     order = np.argsort(mixed, kind="stable")
-    same = mixed[order[1:]] == mixed[order[:-1]]
+    mixed = mixed[order]
+    same = mixed[1:] == mixed[:-1]
     if not same.any():
         return 0
-    twice = np.zeros(n, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    cover = np.zeros(len(hashes) + 1, np.int64)
+    twice = np.zeros(n, np.int8)
+    twice[order[1:][same]] = 1
+    twice[order[:-1][same]] = 1
+    cover = np.zeros(len(hashes) + 1, np.int8)
     cover[:n] += twice
     cover[WINDOW : WINDOW + n] -= twice
-    return int((np.cumsum(cover[:-1]) > 0).sum())
+    return int((np.cumsum(cover[:-1], dtype=np.int32) > 0).sum())
+
+
+def _line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines with a word, and the index of the first of each row (n + 1 entries)."""
+    feeds = np.flatnonzero(data == 10)
+    starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], feeds + 1]))
+    starts = starts[starts < len(data)]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    row_ends = offsets[np.searchsorted(offsets, starts, "right")]
+    ends = np.minimum(np.append(feeds, len(data))[np.searchsorted(feeds, starts)], row_ends)
+    filled = np.logical_or.reduceat(IN_WORD[data], starts)
+    starts, ends = starts[filled], ends[filled]
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """COUNTS and EXTRA of each row of a slice, int64."""
     rows = len(offsets) - 1
-    starts, ends, first = words(data, offsets)
     out = np.zeros((rows, len(COUNTS) + len(EXTRA)), np.int64)
-    out[:, 0] = np.diff(first)
-    inside = np.zeros(len(data) + 1, np.int64)
-    inside[starts] += 1
-    inside[ends] -= 1
-    in_word = np.cumsum(inside[:-1]) > 0
-    out[:, 1] = _per_row(in_word & ((data & 0xC0) != 0x80), offsets)
-    out[:, 2] = _per_row(SYMBOLS[data], offsets)
-    out[:, 5] = _per_row((data >= 65) & (data <= 90), offsets)
-    out[:, 6] = _per_row((data == 33) | (data == 63), offsets)
-    hashes = span_hashes(data, starts, ends)
-    # lines: from each start or line feed to the next; with a word if one starts in it
-    feeds = np.flatnonzero(data == 10)
-    line_starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], feeds + 1]))
-    line_starts = line_starts[line_starts < len(data)]
-    row_ends = offsets[np.searchsorted(offsets, line_starts, "right")]
-    line_ends = np.minimum(np.append(feeds, len(data))[np.searchsorted(feeds, line_starts)], row_ends)
-    filled = np.searchsorted(starts, line_ends, "left") > np.searchsorted(starts, line_starts, "left")
-    line_starts, line_ends = line_starts[filled], line_ends[filled]
-    line_hashes = span_hashes(data, line_starts, line_ends)
-    lines = np.searchsorted(line_starts, offsets)
-    out[:, 7] = np.diff(lines)
+    parts, lines = [(data, offsets)], [(data, offsets)]
+    if rows == 1:  # a long text goes in pieces
+        parts, lines = ([(data[a:b], np.array([0, b - a])) for a, b in pieces(data, cut=cut)] for cut in (SPACE, FEED))
+    hashes = [np.zeros(0, np.uint64)]
+    for part, places in parts:
+        starts, ends, first = words(part, places)
+        counts = (np.diff(first), _per_row(IN_WORD[part] & ((part & 0xC0) != 0x80), places), _per_row(SYMBOLS[part], places), _per_row((part >= 65) & (part <= 90), places), _per_row((part == 33) | (part == 63), places))
+        for column, x in zip((0, 1, 2, 5, 6), counts, strict=True):
+            out[:, column] += x
+        hashes.append(span_hashes(part, starts, ends))
+    of_words, first = np.concatenate(hashes), np.concatenate([[0], np.cumsum(out[:, 0])])
+    found = [_line_hashes(*x) for x in lines]
+    of_lines = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in found)])
+    line_row = found[0][1] if rows != 1 else np.array([0, len(of_lines)])
+    out[:, 7] = np.diff(line_row)
     for i in np.flatnonzero(out[:, 0]):
-        own = line_hashes[lines[i] : lines[i + 1]]
+        own = of_lines[line_row[i] : line_row[i + 1]]
         if len(own) > 1:
             out[i, 3] = len(own) - len(np.unique(own))
-        out[i, 4] = _repeated_words(hashes[first[i] : first[i + 1]])
+        out[i, 4] = _repeated_words(of_words[first[i] : first[i + 1]])
     return out
 
 
@@ -140,7 +145,7 @@ def judge(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text"
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
     kinds = ", ".join(f"{c} long" for c in COUNTS)
-    return slim.mapInArrow(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, {kinds}, base_failed boolean, quality double, kept boolean")
+    return slim.mapInArrow(released(run), f"`{key}` {slim.schema[0].dataType.simpleString()}, {kinds}, base_failed boolean, quality double, kept boolean")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 A payload's bytes become flat 8 x 8 blocks, 24 a row, whose quantised DC values are the bytes less
 128, so the thumbnail of DC values is the payload itself. Each row is a restart interval. Payloads
-beyond 8184 rows go into several images, one after the other.
+beyond 8184 rows go into several images, one after the other. The Huffman codes are chosen so that a
+block takes two whole bytes; the table's own compression (Zstandard) makes up for their length.
 
-Defined results: a null text counts as empty, which is 576 bytes of 255; repeated rows are stored each
-by itself; an empty table gives an empty result; other columns are not read. A media value that is not
-a baseline JPEG raises ValueError.
+Defined results: a null text counts as empty, which is 576 bytes of 255; a very long text is stored
+whole, as several images, and read one image at a time; repeated rows are stored each by itself and get
+equal values; an empty table gives an empty result; other columns are not read, so their names may be
+any. A media value that is not a baseline JPEG raises ValueError; null or no bytes are no image.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._jpeg import BLOCKS_WIDE, MOST_ROWS, encode, luminance, parse
-from ._store import shared_folder, stored, text_batches
+from ._store import released, shared_folder, stored, text_batches
 from ._text import slices
 
 UNIT = 576
@@ -31,27 +34,17 @@ TAIL = 32
 READ_BYTES = 1 << 21
 
 
-def payloads(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows' bytes filled up to a positive multiple of UNIT, and their offsets."""
-    sizes = np.diff(offsets)
-    padded = np.maximum(-(-sizes // UNIT), 1) * UNIT
-    starts = np.concatenate([[0], np.cumsum(padded)])
-    out = np.full(starts[-1], FILL, np.uint8)
-    out[np.arange(len(data)) + np.repeat(starts[:-1] - offsets[:-1], sizes)] = data
-    return out, starts
-
-
 def store(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """The stored form of each row of a slice."""
-    samples, starts = payloads(data, offsets)
-    rows, owners = [], []
-    for i, n in enumerate(np.diff(starts) // BLOCKS_WIDE):
-        for first in range(0, int(n), MOST_ROWS):
-            rows.append(min(MOST_ROWS, int(n) - first))
-            owners.append(i)
-    media = [b""] * (len(offsets) - 1)
-    for i, image in zip(owners, encode(samples, np.array(rows, np.int64)) if rows else (), strict=True):
-        media[i] = media[i] + image if media[i] else image
+    """The stored form of each row of a slice: its payload's images, one after the other."""
+    media, most = [], MOST_ROWS * BLOCKS_WIDE // UNIT * UNIT
+    for a, b in zip(offsets, offsets[1:], strict=False):
+        images, padded = [], max(-(-(b - a) // UNIT), 1) * UNIT
+        for first in range(0, padded, most):
+            samples = np.full(min(most, padded - first), FILL, np.uint8)
+            part = data[a + first : min(b, a + first + most)]
+            samples[: len(part)] = part
+            images.append(encode(samples))
+        media.append(b"".join(images))
     return media
 
 
@@ -69,7 +62,7 @@ def thumbnails(media: list[bytes]) -> list[list[np.ndarray]]:
         at += len(value)
     out: list[list[np.ndarray]] = [[] for _ in media]
     if images:
-        for i, thumb in zip(owners, luminance(np.frombuffer(b"".join(media), np.uint8), images), strict=True):
+        for i, thumb in zip(owners, luminance(np.frombuffer(media[0] if len(media) == 1 else b"".join(media), np.uint8), images), strict=True):
             out[i].append(thumb)
     return out
 
@@ -83,25 +76,14 @@ def feature(thumbs: list[np.ndarray]) -> str:
     whole = np.concatenate(thumbs) if len(thumbs) > 1 else thumbs[0]
     height, width = whole.shape
     rows, columns = np.arange(8) * height // 8, np.arange(8) * width // 8
-    sums = np.add.reduceat(np.add.reduceat(whole.astype(np.int64), rows, 0), columns, 1)
+    tall = np.maximum(np.append(rows[1:], height), rows + 1)
+    sums = np.add.reduceat(np.stack([whole[a:b].sum(0, np.int64) for a, b in zip(rows, tall, strict=True)]), columns, 1)
     cells = np.diff(np.append(rows, height))[:, None] * np.diff(np.append(columns, width))[None, :]
     means = sums / np.maximum(cells, 1)
     bright = means > np.median(means)
     return f"{width * 8}x{height * 8}:{np.packbits(bright).tobytes().hex()}"
 
 
-def _runs(media: list[bytes]) -> Iterator[list[bytes]]:
-    run, size = [], 0
-    for value in media:
-        if run and size + len(value) > READ_BYTES:
-            yield run
-            run, size = [], 0
-        run.append(value)
-        size += len(value)
-    if run:
-        yield run
-
-
 def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, media binary of every row."""
 
@@ -112,16 +94,19 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
-    return slim.mapInArrow(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, media binary")
+    return slim.mapInArrow(released(run), f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_facts(media: list[bytes]) -> list[pa.Array]:
     """Size and digests of what the stored bytes hold, of themselves, and the feature, for each value."""
     facts = []
-    for run in _runs(media):
-        for value, thumbs in zip(run, thumbnails(run), strict=True):
-            payload = b"".join(x.tobytes() for x in thumbs)
-            facts.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(value), hashlib.sha256(value).hexdigest(), feature(thumbs)))
+    for value, thumbs in zip(media, thumbnails(media), strict=True):
+        digest, tail, size = hashlib.sha256(), b"", 0
+        for x in thumbs:
+            payload = x.tobytes()
+            digest.update(payload)
+            tail, size = (tail + payload[-TAIL:])[-TAIL:], size + len(payload)
+        facts.append((size, digest.hexdigest(), zlib.crc32(tail), len(value), hashlib.sha256(value).hexdigest(), feature(thumbs)))
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     return [pa.array(x, kind) for x, kind in zip(zip(*facts, strict=True) if facts else [[]] * len(kinds), kinds, strict=True)]
 
@@ -135,13 +120,15 @@ def read_media(table: DataFrame, key: str = "doc_id", media: str = "media", also
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            *own, values = b.columns
-            yield pa.RecordBatch.from_arrays([*own, *media_facts([x.as_py() or b"" for x in values])], names=[key, *also, *FACTS])
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            for run in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(ends // READ_BYTES)) + 1):
+                *own, values = b.slice(run[0] if len(run) else 0, len(run)).columns
+                yield pa.RecordBatch.from_arrays([*own, *media_facts([x.as_py() or b"" for x in values])], names=[key, *also, *FACTS])
 
     text_batches(table.sparkSession)
     slim = table.select(key, *also, F.col(media).alias("_media"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1])
-    return slim.mapInArrow(run, f"{kinds}, {FACT_KINDS}")
+    return slim.mapInArrow(released(run), f"{kinds}, {FACT_KINDS}")
 
 
 def media_round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,12 +141,12 @@ def media_round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
-    return slim.mapInArrow(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, {FACT_KINDS}")
+    return slim.mapInArrow(released(run), f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, {FACT_KINDS}")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts of a media column that is written as a table and read again."""
-    media = stored(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), shared_folder(spark), "media")
+    media = stored(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), shared_folder(spark), "media", "zstd")
     return read_media(media, "doc_id", "media", ["n_bytes"])
 
 
