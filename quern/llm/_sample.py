@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import named
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = 4000, where: Column | None = None, kind: str = "int") -> DataFrame:
-    """key, text, label of at most ``most`` labelled rows, those whose keys have the smallest MD5.
 
-    A key with several labels counts with the largest, so as 1 if any is 1; rows without key or label are left out. Only the
-    chosen keys, whose number is bounded, are sent to the scan of the texts.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = 4000, where: Column | None = None, kind: str = "int", of_each: bool = False) -> DataFrame:
+    """doc_id, text, label of at most ``most`` labelled rows (of each label, if ``of_each``), those whose keys have the smallest MD5.
+
+    A key with several labels counts with the largest, so as 1 if any is 1; rows without key or label are left out, and rows
+    that repeat a key count once, with the largest text. Only the chosen keys, whose number is bounded, are sent to the scan
+    of the texts. ``where`` is a condition on the key, named _key. No key is above another's place in a single task: of each
+    label a task passes on as many rows at most as are wanted.
     """
-    picked = labels.select(F.col(key).alias("_key"), F.col(label).cast(kind).alias("_label")).dropna()
+    picked = labels.select(named(key).alias("_key"), named(label).cast(kind).alias("_label")).dropna()
     if where is not None:
         picked = picked.filter(where)
     picked = picked.groupBy("_key").agg(F.max("_label").alias("_label"))
-    picked = picked.orderBy(F.md5(F.col("_key").cast("string")), "_key").limit(most)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(picked), "_key")
-    return rows.select(F.col("_key").alias(key), F.coalesce("_text", F.lit("")).alias("text"), F.col("_label").alias("label"))
+    order = [F.md5(F.col("_key").cast("string")), F.col("_key")]
+    if of_each:
+        place = F.row_number().over(Window.partitionBy("_label").orderBy(*order))
+        picked = picked.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
+    else:
+        picked = picked.orderBy(*order).limit(most)
+    rows = docs.select(named(key).alias("_key"), named(text).alias("_text")).join(F.broadcast(picked), "_key")
+    rows = rows.groupBy("_key", "_label").agg(F.max(F.coalesce("_text", F.lit(""))).alias("_text"))
+    return rows.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text"), F.col("_label").alias("label"))

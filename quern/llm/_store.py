@@ -7,11 +7,28 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def named(name: str) -> Column:
+    """The column of just this name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spare(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, changed where a column has one of them already."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 #: Folders that this process has made, by session.

@@ -5,9 +5,11 @@ the boilerplate ratio go. Only those lines travel back to the rows: a site has a
 a row / ratio) of them, however many rows it has.
 
 Defined results: rows of a null site form one site; a null text stays null and has no lines; lines
-are compared without the spaces around them, and blank lines are never counted or dropped; a line that
-a row repeats counts once for it and goes with all its repetitions; a line of a single row stays, whatever the ratio; sites with fewer rows than
-``least_rows`` keep all lines; repeated rows count each; an empty table gives an empty result. With
+are compared by a 64-bit hash without the spaces around them, and blank lines are never counted or dropped; a line that
+a row repeats counts once for it and goes with all its repetitions; a line whose share is just the ratio stays, and so
+does a line of a single row, whatever the ratio; sites with fewer rows than ``least_rows`` keep all lines; very long
+texts are read whole; repeated rows count each; an empty table gives an empty result. Other columns pass through under
+any names; ``_lines`` and ``_dropped`` replace columns of these names, however written. With
 ``spare_copies``, rows of a site that have the same lines count as one row, also towards ``least_rows``,
 and a row of nothing but boilerplate keeps its text, so that no text is dropped whole.
 """
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import shared_folder, stored
+from ._store import named, shared_folder, spare, stored
 
 RATIO = 0.5
 LEAST_ROWS = 4
@@ -31,8 +33,8 @@ def _key(line: Column) -> Column:
 
 def boilerplate(rows: DataFrame, site: str, text: str, ratio: float = RATIO, least_rows: int = LEAST_ROWS, spare_copies: bool = False) -> DataFrame:
     """site, lines array<long>: the hashes of each site's lines above the ratio; sites without one are left out."""
-    lines = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != ""), _key))
-    counted = rows.select(F.col(site).alias("site"), lines.alias("lines"))
+    lines = F.array_distinct(F.transform(F.filter(F.split(named(text), "\n"), lambda x: F.trim(x) != ""), _key))
+    counted = rows.select(named(site).alias("site"), lines.alias("lines"))
     if spare_copies:
         counted = counted.distinct()
     seen = counted.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
@@ -46,16 +48,19 @@ def boilerplate(rows: DataFrame, site: str, text: str, ratio: float = RATIO, lea
 def without_boilerplate(rows: DataFrame, site: str, text: str = "text", ratio: float = RATIO, least_rows: int = LEAST_ROWS, spare_copies: bool = False) -> DataFrame:
     """``rows`` with the text rid of its site's boilerplate, and ``_lines`` and ``_dropped`` counts (long) after it."""
     found = stored(boilerplate(rows, site, text, ratio, least_rows, spare_copies), shared_folder(rows.sparkSession), "boilerplate")
-    found = found.select(F.col("site").alias("_site"), F.col("lines").alias("_found"))
-    lines, bad = F.split(F.col(text), "\n"), F.col("_found")
+    of_site, bad_lines = spare(rows.columns, "_site", "_found")
+    found = found.select(F.col("site").alias(of_site), F.col("lines").alias(bad_lines))
+    whole, bad = named(text), named(bad_lines)
+    lines = F.split(whole, "\n")
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(bad, _key(x)))
     filled = lambda xs: F.coalesce(F.size(F.filter(xs, lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
-    n = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(filled(lines))
-    dropped = F.when(bad.isNull() | F.col(text).isNull(), F.lit(0).cast("long")).otherwise(filled(lines) - filled(kept))
+    n = F.when(whole.isNull(), F.lit(0).cast("long")).otherwise(filled(lines))
+    dropped = F.when(bad.isNull() | whole.isNull(), F.lit(0).cast("long")).otherwise(filled(lines) - filled(kept))
     if spare_copies:
         dropped = F.when(dropped < n, dropped).otherwise(F.lit(0).cast("long"))
-    joined = rows.join(found, F.col(site).eqNullSafe(F.col("_site")), "left")
-    columns = [F.when(dropped > 0, F.array_join(kept, "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in rows.columns]
+    joined = rows.join(found, named(site).eqNullSafe(named(of_site)), "left")
+    own = [c for c in rows.columns if c.lower() not in ("_lines", "_dropped")]
+    columns = [F.when(dropped > 0, F.array_join(kept, "\n")).otherwise(whole).alias(text) if c == text else named(c).alias(c) for c in own]
     return joined.select(*columns, n.alias("_lines"), dropped.alias("_dropped"))
 
 
@@ -70,7 +75,7 @@ def html_lines(html: Column) -> Column:
     """The text of a page, with a line for each block."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), BLOCK, "\n"), TAG, " ")
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n ?", "\n"), r"\n+", "\n")
+    return F.regexp_replace(text, r" ?\n[ \n]*", "\n")
 
 
 def host(url: Column) -> Column:

@@ -9,10 +9,11 @@ training order.
 Prefix sums within a source are taken in two levels (buckets of the shuffled order, then rows of a
 bucket), with about as many buckets as buckets have rows, so a source of any size is spread over tasks.
 
-Defined results: null text or size counts 0 words; a null source is a source of its own, last in
-order; rows that repeat a key are separate documents, and equal rows share the order's ties without
-changing the result; an empty table gives an empty result; other columns are not read. The document
-at which a source's target ends is taken in part, so takes add up to the target rounded to words.
+Defined results: null text or size counts 0 words; a very long text counts whole, and is taken in part where
+its source's target ends; a null source is a source of its own, last in order; rows that repeat a key are separate
+documents, and equal rows share the order's ties without changing the result; an empty table gives an empty result;
+other columns are not read, so their names may be any. The document at which a source's target ends is taken in part,
+so takes add up to the target rounded to words. Sources are ranked in one task, one row each.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import shared_folder, stored
+from ._store import named, shared_folder, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -105,8 +106,10 @@ def curriculum(
     first pass, ``again_at`` of the second, null where the pass takes nothing of the row. Rows that are not taken come last.
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    spread = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), (word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"), spread.alias("spread"))
+    if most > 2:
+        raise ValueError("a document has two positions, so a source is passed twice at most")
+    spread = F.md5(F.coalesce(named(key).cast("string"), F.lit("")))
+    sized = docs.select(named(key).alias("key"), named(source).alias("source"), (word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"), spread.alias("spread"))
     sized = stored(sized, folder, "sized")
     sources = stored(source_targets(sized, weights, share, most), folder, "sources")
 

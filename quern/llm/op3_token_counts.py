@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import released, text_batches
+from ._store import named, released, text_batches
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -196,7 +196,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
         of.forget()
 
     text_batches(docs.sparkSession)
-    slim = docs.select(docs[f"`{key}`"].alias(key), docs[f"`{text}`"].alias("text"))
+    slim = docs.select(named(key).alias(key), named(text).alias("text"))
     counted = slim.mapInArrow(released(count), f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 

@@ -8,8 +8,8 @@ an error instead of a record.
 Defined results: null html is an empty payload, a null url leaves out the target line; of equal
 payloads the page with the largest id is the response (null ids count least) and the others revisit
 it; rows that repeat that id with the same payload are each the response; CR and LF in a url are
-percent-encoded, so that a header stays whole; an empty table gives an empty archive; other columns
-are not read.
+percent-encoded, so that a header stays whole; a very long payload is stored and read whole; an empty
+table gives an empty archive; other columns are not read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import shared_folder
+from ._store import named, shared_folder
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2026-01-01T00:00:00Z"
@@ -39,7 +39,7 @@ def _bytes(text: Column) -> Column:
 def write_archive(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", date: str = DATE) -> None:
     """Writes the tables ``payloads`` and ``records`` below ``folder``."""
     spark = pages.sparkSession
-    rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), _bytes(F.col(body)).alias("payload"))
+    rows = pages.select(named(key).alias("id"), named(url).alias("url"), _bytes(named(body)).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     payloads = rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.max("id").alias("keeper"), F.min(F.length("payload")).alias("least"), F.max(F.length("payload")).alias("most"))
     whole = F.when(F.col("least") != F.col("most"), F.raise_error(F.lit("two payloads share a digest"))).otherwise(F.col("payload"))

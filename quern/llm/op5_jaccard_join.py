@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import discard, release, released, settings, shared_folder, stored, text_batches
+from ._store import discard, named, release, released, settings, shared_folder, stored, text_batches
 from ._text import FOLDED, STEP, chained, mix, slices, word_hashes
 
 N = 5
@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """key, n_shingles, component_id (the least key that links reach) of every row."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     text_batches(docs.sparkSession)
-    slim = docs.select(docs[f"`{key}`"].cast("long").alias("id"), docs[f"`{text}`"].alias("text"))
+    slim = docs.select(named(key).cast("long").alias("id"), named(text).alias("text"))
     bits = min(32, max(LEAST_BITS, ceil(log2(max(1, docs.count() * 500 / FRAGMENT_GRAMS)))))
     dealt = slim.mapInArrow(released(_deal(bits, n)), DEALT)
     parts = stored(dealt.groupBy("fragment").applyInArrow(_count(bits), PARTS), folder, "parts")

@@ -4,9 +4,11 @@ Statistics come from vectorised passes over UTF-8 bytes. The trees are fitted on
 labelled rows (``TRAIN_ROWS``), flattened into node arrays and applied to all rows at once; more
 symbols, repeated lines, repeated words or capitals can only lower a score.
 
-Defined results: a null or empty text has no words, so it fails the base rule; repeated rows are
-judged each by itself; without labels, or with labels of one class, the trees are a constant and pass
-as the base rate says; an empty table gives an empty result; other columns are not read.
+Defined results: a null or empty text has no words, so it fails the base rule; a very long text is
+judged whole, in pieces; repeated rows are judged each by itself and get equal values; a row at a limit
+(20 words, 30 per cent, a quality of just KEEP_ABOVE) passes it; without labels, or with labels of one
+class, the trees are a constant and pass as the base rate says; an empty table gives an empty result;
+other columns are not read, so their names may be any. Words and lines are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,11 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ._boost import Trees, fit
 from ._sample import labelled
-from ._store import released, text_batches
+from ._store import named, released, text_batches
 from ._text import FEED, IN_WORD, SPACE, chained, pieces, slices, span_hashes, words
 
 TRAIN_ROWS = 4000
@@ -143,7 +144,7 @@ def judge(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays(columns, names=[key, *COUNTS, "base_failed", "quality", "kept"])
 
     text_batches(docs.sparkSession)
-    slim = docs.select(F.col(key), F.col(text).alias("_text"))
+    slim = docs.select(named(key).alias(key), named(text).alias("text"))
     kinds = ", ".join(f"{c} long" for c in COUNTS)
     return slim.mapInArrow(released(run), f"`{key}` {slim.schema[0].dataType.simpleString()}, {kinds}, base_failed boolean, quality double, kept boolean")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._store import released, text_batches
+from ._store import named, released, text_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Runs up to a space, and pieces without one, that a worker remembers within a task, each in two generations: about
@@ -348,7 +348,7 @@ def _mapped(docs: DataFrame, key: str, text: str, path: str | None, pattern: str
         code.forget()
 
     text_batches(docs.sparkSession)
-    slim = docs.select(docs[f"`{key}`"].alias(key), docs[f"`{text}`"].alias("text"))
+    slim = docs.select(named(key).alias(key), named(text).alias("text"))
     schema = f"`{key}` {slim.schema[0].dataType.simpleString()}, {schema}"
     names = [key, *(x.split()[0] for x in schema.split(", ")[1:])]
     return slim.mapInArrow(released(run), schema)

@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ._jpeg import BLOCKS_WIDE, MOST_ROWS, encode, luminance, parse
-from ._store import released, shared_folder, stored, text_batches
+from ._store import named, released, shared_folder, stored, text_batches
 from ._text import slices
 
 UNIT = 576
@@ -93,7 +92,7 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(np.diff(offsets)), pa.array(store(data, offsets), pa.binary())], names=[key, "n_bytes", "media"])
 
     text_batches(docs.sparkSession)
-    slim = docs.select(F.col(key), F.col(text).alias("_text"))
+    slim = docs.select(named(key).alias(key), named(text).alias("text"))
     return slim.mapInArrow(released(run), f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, media binary")
 
 
@@ -126,7 +125,7 @@ def read_media(table: DataFrame, key: str = "doc_id", media: str = "media", also
                 yield pa.RecordBatch.from_arrays([*own, *media_facts([x.as_py() or b"" for x in values])], names=[key, *also, *FACTS])
 
     text_batches(table.sparkSession)
-    slim = table.select(key, *also, F.col(media).alias("_media"))
+    slim = table.select(*(named(c).alias(c) for c in (key, *also)), named(media).alias("_media"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1])
     return slim.mapInArrow(released(run), f"{kinds}, {FACT_KINDS}")
 
@@ -140,7 +139,7 @@ def media_round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(np.diff(offsets)), *media_facts(store(data, offsets))], names=[key, "n_bytes", *FACTS])
 
     text_batches(docs.sparkSession)
-    slim = docs.select(F.col(key), F.col(text).alias("_text"))
+    slim = docs.select(named(key).alias(key), named(text).alias("text"))
     return slim.mapInArrow(released(run), f"`{key}` {slim.schema[0].dataType.simpleString()}, n_bytes long, {FACT_KINDS}")
 
 
