@@ -63,6 +63,11 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def made(spark: SparkSession) -> list[str]:
+    """The folders of this session so far."""
+    return list(_made.get(spark.sparkContext.applicationId, ()))
+
+
 def clean(spark: SparkSession) -> None:
     """Removes all intermediate tables of this session; results that have not been written must not be read afterwards."""
     for folder in _made.pop(spark.sparkContext.applicationId, []):

@@ -44,15 +44,15 @@ from ._text import FOLDED, STEP, chained, mix, slices, word_hashes
 
 N = 5
 PERCENT = 80
-#: n-grams of a fragment, about; with 500 to a document this gives the number of fragments.
-FRAGMENT_GRAMS = 1_000_000
+#: n-grams that a task counts, about; with 500 to a document this gives the number of parts of the n-gram order.
+FRAGMENT_GRAMS = 1_500_000
 #: n-grams that a task gathers before it deals them out to fragments.
 GATHERED = 750_000
 #: Documents of a lot at most: within it a document is known by two bytes.
 LOT = 1 << 16
 #: Bits of a lot's number within its task, and of a task's number.
 LOT_BITS, TASK_BITS = 24, 21
-#: An n-gram's bytes within its fragment; the fragment has the bits above, LEAST_BITS or more.
+#: An n-gram's bytes within its fragment, which has the bits above. Where data are few, one task counts several fragments.
 KEY_BYTES = 7
 LEAST_BITS = 8
 #: Documents of a lot that make an n-gram a common one. Beyond this number, counts do not matter: only their order does.
@@ -116,15 +116,17 @@ def _joined(column: pa.ChunkedArray | pa.Array) -> bytes:
 #: After groups of so many bytes a worker gives unused memory back.
 RELEASE_BYTES = 1 << 20
 
-DEALT = "fragment long, lot long, keys binary, counts binary, nodes binary, ids array<long>, sizes array<long>, sums array<long>, mixes array<long>"
+DEALT = "part long, fragment long, lot long, keys binary, counts binary, nodes binary, ids array<long>, sizes array<long>, sums array<long>, mixes array<long>"
 
 
 def _deal(bits: int, n: int):
-    """A task's rows for each fragment: its n-grams, each with the number of documents of the lot that have it (0: it is a common one) and these documents.
+    """A task's rows for each fragment (of ``bits`` bits; LEAST_BITS at least): its n-grams, each with the number of documents of the lot that have it (0: it is a common one) and these documents.
 
     Facts about the documents, and the common n-grams of each, go to groups of negative numbers.
     """
 
+    deep = max(bits, LEAST_BITS)
+
     def flush(lot: int, sets: list[np.ndarray], ids: list[int | None]) -> pa.RecordBatch:
         sizes = np.array([len(x) for x in sets], np.int64)
         every = np.concatenate(sets)
@@ -138,7 +140,7 @@ def _deal(bits: int, n: int):
         common = often >= COMMON
         of_common = np.repeat(common, often)
         grams = every[heads]
-        fragment = (grams >> np.uint64(64 - bits)).astype(np.int64)
+        fragment = (grams >> np.uint64(64 - deep)).astype(np.int64)
         found, at = np.unique(fragment, return_index=True)
         listed = np.where(common, 0, often)
         held = np.diff(np.append(at, len(grams)))
@@ -151,12 +153,12 @@ def _deal(bits: int, n: int):
         none = np.zeros(0, np.uint8)
         last = [_binaries(np.array([len(x)]), 1, x) for x in (every[of_common][own].view(np.uint8), per.view(np.uint8), none)]
         first = [
-            _binaries(held, KEY_BYTES, _packed(grams & np.uint64((1 << 64 - bits) - 1))),
+            _binaries(held, KEY_BYTES, _packed(grams & np.uint64((1 << 64 - deep) - 1))),
             _binaries(held, 1, listed.astype(np.uint8)),
             _binaries(nodes_in, 2, owner[~of_common]),
         ]
         facts = [pa.array([None] * k + [x], pa.list_(pa.int64())) for x in (ids, *(x.view(np.int64) for x in (sizes, sums, mixes)))]
-        columns = [pa.array([*found.tolist(), spread], pa.int64()), pa.array(np.full(k + 1, lot)), *(pa.concat_arrays(x) for x in zip(first, last, strict=True)), *facts]
+        columns = [pa.array([*(found >> deep - bits).tolist(), spread], pa.int64()), pa.array([*found.tolist(), -1], pa.int64()), pa.array(np.full(k + 1, lot)), *(pa.concat_arrays(x) for x in zip(first, last, strict=True)), *facts]
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DEALT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +191,7 @@ PARTS = "node long, n int, grams binary, often binary, id long, size long, sum l
 
 
 def _count(bits: int):
+    deep = max(bits, LEAST_BITS)
     names = [x.split()[0] for x in PARTS.split(", ")]
 
     def rows(node: np.ndarray, n: np.ndarray, grams: np.ndarray, often: np.ndarray, facts: list[pa.Array] | None = None) -> pa.Table:
@@ -205,11 +208,13 @@ def _count(bits: int):
         return pa.concat_tables(found)
 
     def run(table: pa.Table) -> pa.Table:
-        """Of a fragment: each document's n-grams that others have too, and in how many documents they are."""
-        fragment = table.column("fragment")[0].as_py()
-        if fragment < 0:
+        """Of a part of the order: each document's n-grams that others have too, and in how many documents they are."""
+        if table.column("part")[0].as_py() < 0:
             return of_documents(table)
-        keys = _keys(_joined(table.column("keys")))
+        packed = table.column("keys").to_pylist()
+        fragment = np.repeat(table.column("fragment").to_numpy().astype(np.uint64) << np.uint64(64 - deep), [len(x) // KEY_BYTES for x in packed])
+        keys = _keys(b"".join(packed)) | fragment
+        del packed, fragment
         listed = np.frombuffer(_joined(table.column("counts")), np.uint8)
         nodes = np.frombuffer(_joined(table.column("nodes")), np.uint16)
         order = np.argsort(keys, kind="stable")
@@ -228,7 +233,7 @@ def _count(bits: int):
         order = np.argsort(node, kind="stable")
         node, entry = node[order], entry[order]
         heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-        out = rows(node[heads], np.diff(np.append(heads, len(node))), keys[entry] | np.uint64(fragment << 64 - bits), often[entry])
+        out = rows(node[heads], np.diff(np.append(heads, len(node))), keys[entry], often[entry])
         if table.nbytes >= RELEASE_BYTES:
             release()
         return out
@@ -373,9 +378,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     text_batches(docs.sparkSession)
     slim = docs.select(named(key).cast("long").alias("id"), named(text).alias("text"))
-    bits = min(32, max(LEAST_BITS, ceil(log2(max(1, docs.count() * 500 / FRAGMENT_GRAMS)))))
+    bits = min(32, max(4, ceil(log2(max(1, docs.count() * 500 / FRAGMENT_GRAMS)))))
     dealt = slim.mapInArrow(released(_deal(bits, n)), DEALT)
-    parts = stored(dealt.groupBy("fragment").applyInArrow(_count(bits), PARTS), folder, "parts")
+    parts = stored(dealt.groupBy("part").applyInArrow(_count(bits), PARTS), folder, "parts")
 
     same = ["size", "sum", "mixed"]
     facts = parts.filter("size is not null").select("id", "node", *same)
@@ -385,7 +390,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     # a class is known by the least of its documents
     label = F.coalesce(F.min("id"), F.min("node") + NO_KEY)
     reps = stored(able.groupBy(*same).agg(F.min("node").alias("class"), label.alias("label")), folder, "reps")
-    segments = shared.join(reps.select(F.col("class").alias("node"), "size"), "node").groupBy("node", "size").agg(F.collect_list(F.struct("grams", "often")).alias("segments"))
+    segments = shared.join(reps.filter("size > 0").select(F.col("class").alias("node"), "size"), "node").groupBy("node", "size").agg(F.collect_list(F.struct("grams", "often")).alias("segments"))
     # so few of the rows are wanted that a Bloom filter of the nodes is worth building, if they are not too many for one
     with settings(spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0"):
         sets = stored(segments.select("node", "size", "segments").mapInArrow(released(_assembled(percent)), "class long, size long, grams binary, rare array<long>"), folder, "sets")
