@@ -12,22 +12,49 @@ through; extra columns pass through under any names, up to the last stage; empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import op1_mixture, op5_jaccard_join, op6_language_id, op8_byte_bpe, op10_line_dedup
-from quern.llm._store import discard, named, shared_folder, spare, stored
+from quern.llm._store import discard, made, named, shared_folder, spare, stored
+
+#: Intermediate tables of the last stage.
+_tables: list[str] = []
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage``, removing the intermediate tables of the stage before, unless ``docs`` still reads them."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles() if _tables else []
+        for folder in _tables:
+            name = folder.rsplit("/", 1)[-1]
+            if not any(name in x for x in files):
+                discard(spark, folder)
+        before = made(spark)
+        result = stage(spark, docs, sf_dir)
+        _tables[:] = [x for x in made(spark) if x not in before]
+        return result
+
+    return run
+
 
 #: A line in more than this share of a source's distinct documents is boilerplate.
 LINE_RATIO = 0.1
 
 
+@_tidy
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is not certain; the source is the host."""
     judged = op6_language_id.identify(docs, op6_language_id.train(docs), host=F.col("source"))
     return judged.filter("kept").select(*map(named, docs.columns))
 
 
+@_tidy
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that are boilerplate of their source; counts the letters left. Copies, and documents of nothing else, are left to the next stage."""
     cleaned = op10_line_dedup.without_boilerplate(docs, "source", ratio=LINE_RATIO, spare_copies=True)
@@ -35,6 +62,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.withColumn("n_chars", letters).select(*map(named, docs.columns))
 
 
+@_tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of each component that names it."""
     found = op5_jaccard_join.near_duplicates(docs)
@@ -44,6 +72,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left_anti")
 
 
+@_tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the mix does not take, repeats those it takes twice, in the order of training."""
     mixed = op1_mixture.curriculum(docs).filter("taken > 0")
@@ -55,6 +84,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn(at, F.explode(laps)).orderBy(at, "doc_id").select(*map(named, docs.columns))
 
 
+@_tidy
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and their digests, for each training pass of a document."""
     return op8_byte_bpe.encode_documents(docs)
