@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import operator
 import json
 import os
 import uuid
@@ -13,11 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .sources import read_table, resolved, write_table
 from .sql import nodes as n
+from .sql.lexer import SqlError
 from .sql.parser import parse
 from .sql.render import Renderer, quote
 
 SHOWN = {"transaction isolation level": "read only", "standard_conforming_strings": "on"}
-PG_NAMESPACE = [("public", 2200, None), ("pg_catalog", 10, None), ("information_schema", 10, None)]
+PG_NAMESPACE = [("public", 0, None), ("pg_catalog", 0, None), ("information_schema", 0, None)]
+FOLDED = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "%": operator.mod}
+
+
+def constant(e: n.Node) -> object:
+    """The value of an argument of a table function: a literal, with signs and arithmetic."""
+    if isinstance(e, n.Literal):
+        return e.value
+    if isinstance(e, n.Unary) and e.op in ("-", "+"):
+        return -constant(e.arg) if e.op == "-" else constant(e.arg)
+    if isinstance(e, n.Binary) and e.op in FOLDED:
+        return FOLDED[e.op](constant(e.left), constant(e.right))
+    raise SqlError("arguments of a table function have to be constants")
 
 
 class Engine:
@@ -132,13 +146,12 @@ class Engine:
             return view(held[-1])
 
         def function(call: n.Call, r: Renderer) -> str | None:
-            literals = [a.value for a in call.args if isinstance(a, n.Literal)]
             if call.name == "copy_from":
-                path, *rest = literals
+                path, *rest = map(constant, call.args)
                 held.append(read_table(self.spark, resolved(path, basepath or self.basepath), dict(zip(rest[::2], rest[1::2], strict=True))))
                 return view(held[-1])
             if call.name in self.table_functions:
-                made = self.table_functions[call.name](*literals)
+                made = self.table_functions[call.name](*map(constant, call.args))
                 held.append(self.spark.createDataFrame(made) if isinstance(made, pd.DataFrame) else made)
                 return view(held[-1])
             if call.name in self.laterals:

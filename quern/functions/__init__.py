@@ -26,7 +26,8 @@ CALLS = {
     ("version", 0): "'PostgreSQL 9.6.0'",
     ("current_schema", 0): "'public'",
     ("log", 1): "log10({0})",
-    ("trunc", 1): "cast({0} AS BIGINT)",
+    ("trunc", 1): "({0} - {0} % 1)",
+    ("trunc", 2): "(({0} * power(10, {1}) - ({0} * power(10, {1})) % 1) / power(10, {1}))",
     ("strpos", 2): "instr({0}, {1})",
     ("to_hex", 1): "lower(hex({0}))",
     ("fusion", 1): "flatten(collect_list({0}))",

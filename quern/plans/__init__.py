@@ -110,6 +110,12 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "json_arrow": ("select event_id, (props::json ->> 'k')::bigint as v from events", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as v from events"),
     "generate_series": ("select generate_series as v from generate_series(1, 20, 3)", None),
     "values_list": ("select a, b from (values (1, 'x'), (2, 'y')) as t(a, b)", None),
+    "json_dotted": ("select event_id, ('{\"a.b\":1,\"a\":{\"b\":2}}'::json ->> 'a.b')::bigint as v from events", "select event_id, 1::bigint as v from events"),
+    "trunc_func": ("select l_orderkey, l_linenumber, trunc(0 - l_extendedprice / 7) as a, trunc(l_tax * 10) as b from lineitem", None),
+    "agg_ordered": ("select n_regionkey, string_agg(n_name, ',' order by n_nationkey desc) as c from nation group by n_regionkey", None),
+    "case_null": ("select n_nationkey, case when null then 1 else 2 end as v from nation", None),
+    "unreserved_names": ("select range + 1 as v, rows from (select n_nationkey as range, n_name as rows from nation) t", "select n_nationkey + 1 as v, n_name as rows from nation"),
+    "pg_namespace_owners": ("select nspname, nspowner from pg_namespace", "select unnest(['public', 'pg_catalog', 'information_schema']) as nspname, 0 as nspowner"),
     "pg_namespace": ("select nspname from pg_namespace order by nspname asc", "select unnest(['public', 'pg_catalog', 'information_schema']) as nspname"),
     "quoted_names": ("select \"n_name\" as \"the name\" from nation as \"t\" where \"t\".\"n_nationkey\" > 3", None),
     "filter_not_greater": ("select p_partkey from part where p_size !> 10 and p_size !< 3", "select p_partkey from part where p_size <= 10 and p_size >= 3"),

@@ -136,3 +136,13 @@ def test_stream_keys_and_sessions(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
         assert spark.table(name).count() == n
+
+
+def test_arguments_of_table_functions(spark):
+    from quern import Engine
+
+    e = Engine(spark)
+    e.add_table_function("upto", lambda *n: spark.range(sum(n)))
+    assert e.execute("select count(*) as n from upto(2 + 3, -1)").first().n == 4
+    with pytest.raises(Exception, match="constants"):
+        e.execute("select count(*) as n from upto(length('abc'))")
