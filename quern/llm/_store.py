@@ -89,7 +89,7 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
 
 
 #: Rows of an Arrow batch: texts are long, and each of a task's stages holds a batch or two.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def text_batches(spark: SparkSession) -> None:
@@ -111,6 +111,7 @@ def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     """``work`` for mapInArrow that releases memory at the end of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # other pools keep what they free
         yield from work(batches)
         release()
 

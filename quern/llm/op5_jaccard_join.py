@@ -47,7 +47,7 @@ PERCENT = 80
 #: n-grams that a task counts, about; with 500 to a document this gives the number of parts of the n-gram order.
 FRAGMENT_GRAMS = 1_500_000
 #: n-grams that a task gathers before it deals them out to fragments.
-GATHERED = 750_000
+GATHERED = 600_000
 #: Documents of a lot at most: within it a document is known by two bytes.
 LOT = 1 << 16
 #: Bits of a lot's number within its task, and of a task's number.
@@ -55,6 +55,8 @@ LOT_BITS, TASK_BITS = 24, 21
 #: An n-gram's bytes within its fragment, which has the bits above. Where data are few, one task counts several fragments.
 KEY_BYTES = 7
 LEAST_BITS = 8
+#: Bits of the number of parts, at least: so that it does not follow small inputs, as a document has a row in each part.
+LEAST_PARTS = 7
 #: Documents of a lot that make an n-gram a common one. Beyond this number, counts do not matter: only their order does.
 COMMON = 64
 #: n-grams of a fragment when blocks are compared, and rows of a block.
@@ -378,7 +380,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     text_batches(docs.sparkSession)
     slim = docs.select(named(key).cast("long").alias("id"), named(text).alias("text"))
-    bits = min(32, max(4, ceil(log2(max(1, docs.count() * 500 / FRAGMENT_GRAMS)))))
+    bits = min(32, max(LEAST_PARTS, ceil(log2(max(1, docs.count() * 500 / FRAGMENT_GRAMS)))))
     dealt = slim.mapInArrow(released(_deal(bits, n)), DEALT)
     parts = stored(dealt.groupBy("part").applyInArrow(_count(bits), PARTS), folder, "parts")
 
