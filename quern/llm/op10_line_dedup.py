@@ -7,7 +7,7 @@ a row / ratio) of them, however many rows it has.
 Defined results: rows of a null site form one site; a null text stays null and has no lines; lines
 are compared by a 64-bit hash without the spaces around them, and blank lines are never counted or dropped; a line that
 a row repeats counts once for it and goes with all its repetitions; a line whose share is just the ratio stays, and so
-does a line of a single row, whatever the ratio; sites with fewer rows than ``least_rows`` keep all lines; very long
+does a line on fewer than ``least_rows`` rows of its site, whatever the ratio; very long
 texts are read whole; repeated rows count each; an empty table gives an empty result. Other columns pass through under
 any names; ``_lines`` and ``_dropped`` replace columns of these names, however written. With
 ``spare_copies``, rows of a site that have the same lines count as one row, also towards ``least_rows``,
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from ._store import named, shared_folder, spare, stored
 
-RATIO = 0.5
-LEAST_ROWS = 4
 #: Menu and ad lines of real hosts are on fewer pages than half.
-MENU_RATIO = 0.1
+RATIO = 0.1
+#: A line has to be on this many rows of a site to be boilerplate.
+LEAST_ROWS = 2
 
 
 def _key(line: Column) -> Column:
@@ -38,9 +38,8 @@ def boilerplate(rows: DataFrame, site: str, text: str, ratio: float = RATIO, lea
     if spare_copies:
         counted = counted.distinct()
     seen = counted.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
-    # no line on fewer rows can pass the ratio on a site of least_rows rows
-    seen = seen.filter((F.col("n") > ratio * least_rows) & (F.col("n") > 1))
-    sites = counted.groupBy("site").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_rows)
+    seen = seen.filter(F.col("n") >= least_rows)
+    sites = counted.groupBy("site").agg(F.count("*").alias("rows"))
     often = seen.join(sites, seen["site"].eqNullSafe(sites["site"])).filter(F.col("n") > ratio * F.col("rows"))
     return often.groupBy(seen["site"]).agg(F.collect_list("line").alias("lines"))
 
@@ -82,17 +81,13 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def op10_line_dedup(spark: SparkSession, sf_dir: str, ratio: float = RATIO) -> DataFrame:
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     texts = stored(pages.select("page_id", host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text")), shared_folder(spark), "texts")
-    cleaned = without_boilerplate(texts, "host", ratio=ratio)
+    cleaned = without_boilerplate(texts, "host")
     return cleaned.select("page_id", "host", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
 
 
-def op10_line_dedup_menus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_line_dedup(spark, sf_dir, MENU_RATIO)
-
-
 SQL = rf"""
 WITH t AS (
   SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)) AS host,
@@ -104,7 +99,7 @@ lines AS (SELECT host, page_id, unnest(list_distinct(list_filter(list_transform(
 sites AS (SELECT host, count(*) AS n FROM t GROUP BY host),
 bad AS (
   SELECT host, list(line) AS bad FROM (
-    SELECT host, line FROM lines JOIN sites USING (host) GROUP BY host, line, n HAVING count(*) > {RATIO} * n AND n >= {LEAST_ROWS}) GROUP BY host),
+    SELECT host, line FROM lines JOIN sites USING (host) GROUP BY host, line, n HAVING count(*) > {RATIO} * n AND count(*) >= {LEAST_ROWS}) GROUP BY host),
 split AS (
   SELECT page_id, host, text, string_split(text, chr(10)) AS ls,
     list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR NOT list_contains(coalesce(bad, []), trim(x))) AS kept
@@ -113,7 +108,5 @@ counted AS (SELECT *, coalesce(len(list_filter(ls, lambda x: trim(x) <> '')), 0)
 SELECT page_id, host, n AS n_lines, n - k AS n_dropped, CASE WHEN n > k THEN array_to_string(kept, chr(10)) ELSE text END AS text FROM counted
 """
 
-MENUS_SQL = SQL.replace(f"HAVING count(*) > {RATIO} * n", f"HAVING count(*) > {MENU_RATIO} * n AND count(*) > 1")
-
-QUERIES = {"op10_line_dedup": op10_line_dedup, "op10_line_dedup_menus": op10_line_dedup_menus}
-ORACLE_SQL = {"op10_line_dedup": SQL, "op10_line_dedup_menus": MENUS_SQL}
+QUERIES = {"op10_line_dedup": op10_line_dedup}
+ORACLE_SQL = {"op10_line_dedup": SQL}

@@ -260,7 +260,7 @@ def test_lines(spark, odd):
     docs = spark.createDataFrame([*rows(*texts, source="a"), *rows("menu", "menu", source="b"), *rows("x", None, "", "x", "x", source=None)], SCHEMA)
     found = op10_line_dedup.without_boilerplate(docs, "source").collect()
     assert {(r._lines, r._dropped, r.text) for r in found if r.source == "a"} == {(3, 2, f" own {i} ") if i < 6 else (2, 1, f"own {i}") for i in range(10)}
-    assert {r.text for r in found if r.source == "b"} == {"menu"}
+    assert {r.text for r in found if r.source == "b"} == {""}
     assert sorted((r.text for r in found if r.source is None), key=str) == ["", "", "", "", None]
     assert op10_line_dedup.without_boilerplate(odd, "source").count() == 10
 
@@ -268,7 +268,7 @@ def test_lines(spark, odd):
 def test_menu_lines(spark, tmp_path):
     pages = [(i, "http://big.org/", "<p>menu</p>" * (i < 4) + f"<p>own {i}</p>") for i in range(20)] + [(i, "http://small.org/", f"<p>own {i}</p>") for i in range(20, 25)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    found = llm.queries()["op10_line_dedup_menus"](spark, str(tmp_path)).collect()
+    found = llm.queries()["op10_line_dedup"](spark, str(tmp_path)).collect()
     assert {(r.page_id, r.n_lines, r.n_dropped) for r in found} == {(i, 1 + (i < 4), int(i < 4)) for i in range(25)}
 
 
