@@ -2,15 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+from pyspark.errors import AnalysisException
+
 from .engine import Engine
+from .sql.lexer import SqlError
 
 apilevel, threadsafety, paramstyle = "2.0", 1, "pyformat"
 
 
+class Warning(Exception):  # noqa: A001
+    """The names of exceptions and type objects are fixed by DB-API 2.0."""
+
+
 class Error(Exception):
     pass
 
 
+class InterfaceError(Error):
+    pass
+
+
+class DatabaseError(Error):
+    pass
+
+
+class DataError(DatabaseError):
+    pass
+
+
+class OperationalError(DatabaseError):
+    pass
+
+
+class IntegrityError(DatabaseError):
+    pass
+
+
+class InternalError(DatabaseError):
+    pass
+
+
+class ProgrammingError(DatabaseError):
+    pass
+
+
+class NotSupportedError(DatabaseError):
+    pass
+
+
+class _Kind:
+    """Equal to the type names of a description that belong to it."""
+
+    def __init__(self, *names: str) -> None:
+        self.names = names
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, str) and other.partition("(")[0] in self.names
+
+    __hash__ = None
+
+
+STRING, BINARY, DATETIME, ROWID = _Kind("string", "varchar", "char"), _Kind("binary"), _Kind("date", "timestamp", "timestamp_ntz"), _Kind()
+NUMBER = _Kind("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
 def escaped(value: object) -> str:
     """A parameter as a literal of the dialect."""
     if value is None:
@@ -21,7 +79,7 @@ def escaped(value: object) -> str:
         return repr(value) if value >= 0 else f"({value!r})"
     if isinstance(value, str):
         return "'" + value.replace("'", "''") + "'"
-    raise Error(f"cannot pass {type(value).__name__}")
+    raise ProgrammingError(f"cannot pass {type(value).__name__}")
 
 
 def connect(engine: Engine) -> Connection:
@@ -42,33 +100,50 @@ class Connection:
 
 
 class Cursor:
-    arraysize = 1
+    """Rows come from the cluster partition by partition, as they are fetched; ``rowcount`` stays -1, as they are not counted."""
+
+    arraysize = 100
 
     def __init__(self, engine: Engine) -> None:
-        self.engine, self.rows, self.at = engine, [], 0
+        self.engine, self.rows = engine, iter(())
         self.description, self.rowcount = None, -1
 
     def execute(self, sql: str, params: dict | tuple | None = None) -> Cursor:
         if params:
             sql %= {k: escaped(v) for k, v in params.items()} if isinstance(params, dict) else tuple(map(escaped, params))
-        found = self.engine.execute(sql)
-        self.at = 0
-        self.rows = [tuple(r) for r in found.collect()] if found is not None else []
+        try:
+            found = self.engine.execute(sql)
+        except NotImplementedError as e:
+            raise NotSupportedError(str(e)) from e
+        except (SqlError, KeyError, AnalysisException) as e:
+            raise ProgrammingError(str(e)) from e
+        self.rows = map(tuple, found.toLocalIterator()) if found is not None else iter(())
         self.description = [(f.name, f.dataType.simpleString(), None, None, None, None, f.nullable) for f in found.schema] if found is not None else None
-        self.rowcount = len(self.rows) if found is not None else -1
+        return self
+
+    def executemany(self, sql: str, many: list) -> Cursor:
+        """Runs the statement with each set of parameters; the rows are those of the last."""
+        for params in many:
+            self.execute(sql, params)
         return self
 
     def fetchone(self) -> tuple | None:
-        found = self.fetchmany(1)
-        return found[0] if found else None
+        return next(self.rows, None)
 
     def fetchmany(self, size: int | None = None) -> list[tuple]:
-        out = self.rows[self.at : self.at + (size or self.arraysize)]
-        self.at += len(out)
-        return out
+        return list(islice(self.rows, self.arraysize if size is None else size))
 
     def fetchall(self) -> list[tuple]:
-        return self.fetchmany(len(self.rows) - self.at) if self.at < len(self.rows) else []
+        return list(self.rows)
+
+    def __iter__(self) -> Iterator[tuple]:
+        return self.rows
+
+    def setinputsizes(self, sizes: object) -> None:
+        """Nothing to prepare."""
+
+    def setoutputsize(self, size: int, column: int | None = None) -> None:
+        """Nothing to prepare."""
 
     def close(self) -> None:
-        self.rows = []
+        self.rows = iter(())

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .sources import read_table, resolved, write_table
 from .sql import nodes as n
@@ -38,12 +39,14 @@ class Engine:
     """Runs statements against a scope of DataFrames (pandas frames are converted).
 
     ``default_order``: direction of ORDER BY where none is given. ``safe_divide``: division by zero gives
-    null instead of an error. ``materialize``: CREATE TABLE AS caches its rows.
+    null instead of an error. ``materialize``: CREATE TABLE AS caches its rows. ``case_sensitive``: names of
+    columns differ by case.
     """
 
-    def __init__(self, spark: SparkSession | None = None, scope: dict | None = None, basepath: str = ".", default_order: str = "asc", safe_divide: bool = False, materialize: bool = False) -> None:
+    def __init__(self, spark: SparkSession | None = None, scope: dict | None = None, basepath: str = ".", default_order: str = "asc", safe_divide: bool = False, materialize: bool = False, case_sensitive: bool = False) -> None:
         self.spark = spark or SparkSession.builder.getOrCreate()
-        self.scope: dict[str, DataFrame] = {}
+        self.scope: dict[str, DataFrame | pd.DataFrame] = {}
+        self.case_sensitive = case_sensitive
         self.basepath, self.default_order, self.safe_divide, self.materialize = basepath, default_order, safe_divide, materialize
         self.table_functions: dict[str, Callable] = {}
         self.functions: dict[str, str] = {}
@@ -64,17 +67,31 @@ class Engine:
         return sorted(self.scope)
 
     def update(self, **tables) -> None:
-        """Adds tables by name."""
-        for name, table in tables.items():
-            self.scope[name] = self.spark.createDataFrame(table) if isinstance(table, pd.DataFrame) else table
+        """Adds tables by name; a pandas frame goes to Spark when a statement first names it."""
+        self.scope.update(tables)
 
-    def add_function(self, name: str, f: Callable, returns: str = "string") -> None:
-        """A scalar function: a Python function, or a pandas_udf for whole columns at a time."""
+    def add_function(self, name: str, f: Callable, returns: str = "string", by_row: bool = False) -> None:
+        """A scalar function of whole columns (Series in Arrow batches), a pandas_udf, or with ``by_row`` one of single values."""
+        if not by_row and not hasattr(f, "returnType"):
+            plain = f
+
+            def whole(*columns: pd.Series) -> pd.Series:
+                return plain(*columns)
+
+            f = F.pandas_udf(whole, returns)
+        self._register(name, f, returns if by_row else None)
+
+    def add_aggregate(self, name: str, f: Callable, returns: str = "double") -> None:
+        """An aggregate: a function of a group's columns (Series) that gives one value. Each group has to fit in a worker."""
+
+        def of_group(*columns: pd.Series) -> float:
+            return f(*columns)
+
+        self._register(name, F.pandas_udf(of_group, returns))
+
+    def _register(self, name: str, f: Callable, returns: str | None = None) -> None:
         own = f"quern_{uuid.uuid4().hex}"
-        if hasattr(f, "returnType"):
-            self.spark.udf.register(own, f)
-        else:
-            self.spark.udf.register(own, f, returns)
+        self.spark.udf.register(own, f, returns)
         self.functions[name.lower()] = own
 
     def add_table_function(self, name: str, f: Callable) -> None:
@@ -124,6 +141,8 @@ class Engine:
     def named(self, parts: tuple[str, ...]) -> DataFrame:
         name = ".".join(parts)
         if name in self.scope:
+            if isinstance(self.scope[name], pd.DataFrame):
+                self.scope[name] = self.spark.createDataFrame(self.scope[name])
             return self.scope[name]
         if parts[-1] == "pg_namespace":
             return self.spark.createDataFrame(PG_NAMESPACE, "nspname string, nspowner int, nspacl string")
@@ -163,7 +182,8 @@ class Engine:
 
         def own(e: n.Call) -> str:
             if e.name in self.functions:
-                return f"{self.functions[e.name]}({', '.join(map(renderer.expr, e.args))})"
+                where = f" FILTER (WHERE {renderer.expr(e.where)})" if e.where is not None else ""
+                return f"{self.functions[e.name]}({', '.join(map(renderer.expr, e.args))}){where}"
             return call(e)
 
         renderer._call = own
@@ -171,9 +191,13 @@ class Engine:
 
     def run(self, tree: n.Query, basepath: str | None = None) -> DataFrame:
         sql, views = self.render(tree, basepath)
+        setting, before = "spark.sql.caseSensitive", self.spark.conf.get("spark.sql.caseSensitive")
         try:
+            if self.case_sensitive:
+                self.spark.conf.set(setting, "true")
             return self.spark.sql(sql)
         finally:
+            self.spark.conf.set(setting, before)
             for v in views:
                 self.spark.catalog.dropTempView(v)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..operators import as_of, in_column, top_k
+from ..operators import as_of, in_column, lateral_json, top_k
 from ..sources import read_table, write_table
 from ..streaming import joined_within, session_counts, windowed_counts, without_repeats
 
@@ -85,8 +85,8 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "agg_grouping_sets": ("select l_returnflag, l_linestatus, count(*) as n from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())", None),
     "sort_limit": ("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey asc limit 10", None),
     "sort_offset": ("select o_orderkey from orders order by o_orderkey asc limit 10 offset 20", None),
-    "sort_ordinal": ("select o_custkey, o_orderkey from orders order by 1 asc, 2 desc limit 25", None),
-    "sort_expr": ("select c_custkey from customer order by 0 - c_acctbal asc, c_custkey asc limit 15", None),
+    "sort_ordinal": ("select o_custkey, o_orderkey from orders order by 1 asc, 2 desc", None),
+    "sort_expr": ("select c_custkey from customer order by 0 - c_acctbal asc, c_custkey asc", None),
     "fetch_first": ("select c_custkey from customer order by c_custkey asc fetch first 5 rows only", None),
     "distinct_rows": ("select distinct p_brand, p_size from part", None),
     "distinct_on": ("select distinct on (o_custkey) o_custkey, o_orderkey from orders order by o_custkey asc, o_totalprice desc, o_orderkey asc", None),
@@ -115,6 +115,24 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "agg_ordered": ("select n_regionkey, string_agg(n_name, ',' order by n_nationkey desc) as c from nation group by n_regionkey", None),
     "case_null": ("select n_nationkey, case when null then 1 else 2 end as v from nation", None),
     "unreserved_names": ("select range + 1 as v, rows from (select n_nationkey as range, n_name as rows from nation) t", "select n_nationkey + 1 as v, n_name as rows from nation"),
+    "cast_round": ("select l_orderkey, l_linenumber, cast(l_extendedprice / 7 as bigint) as a, cast(1.5 as int) as b, cast(-2.5 as int) as c, l_tax::int as d from lineitem", None),
+    "distinct_on_hidden": ("select distinct on (o_custkey) o_orderkey, o_totalprice from orders order by o_custkey asc, o_totalprice desc, o_orderkey asc", None),
+    "distinct_on_alias": ("select distinct on (g) p_size % 5 as g, p_partkey from part order by g asc, p_partkey desc", None),
+    "distinct_sort_limit": ("select distinct p_brand, p_size from part order by p_size desc, p_brand asc limit 7", None),
+    "subquery_any": ("select s_suppkey from supplier where s_nationkey = any (select n_nationkey from nation where n_regionkey = 1) or s_acctbal <= some (select c_acctbal from customer where c_nationkey = 3)", None),
+    "subquery_all": ("select p_partkey from part where p_size >= all (select q.p_size from part q) or p_size <> all (select o_custkey from orders) or p_size > all (select o_custkey from orders where o_custkey < 0)", None),
+    "cte_recursive": ("with recursive t(v) as (select 1 as v union all select v + 1 from t where v < 20) select v, n_name from t join nation on n_nationkey = v", None),
+    "substring_from": ("select n_nationkey, substring(n_name from 2 for 3) as a, substring(n_name from 3) as b, substring(n_name for 2) as c, substring(n_name, 2, 2) as d from nation", "select n_nationkey, substring(n_name, 2, 3) as a, substring(n_name, 3) as b, substring(n_name, 1, 2) as c, substring(n_name, 2, 2) as d from nation"),
+    "overlay_func": ("select n_nationkey, overlay(n_name placing '--' from 2 for 3) as a, overlay(n_name placing '++' from 2) as b from nation", "select n_nationkey, substring(n_name, 1, 1) || '--' || substring(n_name, 5) as a, substring(n_name, 1, 1) || '++' || substring(n_name, 4) as b from nation"),
+    "json_path": ("select event_id, ('{\"a\": [10, {\"b c\": 20}]}'::json #>> '{a,1,b c}')::bigint as v, (props::json #>> '{k}')::bigint as k from events", "select event_id, 20::bigint as v, cast(json_extract_string(props, '$.k') as bigint) as k from events"),
+    "agg_within_group": ("select o_orderstatus, round(percentile_cont(0.5) within group (order by o_totalprice), 4) as m, percentile_disc(0.25) within group (order by o_totalprice desc) as q from orders group by o_orderstatus", "select o_orderstatus, round(quantile_cont(o_totalprice, 0.5), 4) as m, percentile_disc(0.25) within group (order by o_totalprice desc) as q from orders group by o_orderstatus"),
+    "position_args": ("select n_nationkey, position('A', n_name) as a, position('A' in n_name) as b from nation", "select n_nationkey, instr(n_name, 'A') as a, instr(n_name, 'A') as b from nation"),
+    "array_funcs": ("select n_nationkey, size(split(n_name, 'A')) as n, array_contains(array(n_regionkey, 1), 1) as c, element_at(array(n_name, 'x'), 2) as e from nation", "select n_nationkey, len(string_split(n_name, 'A')) as n, true as c, 'x' as e from nation"),
+    "map_funcs": ("select n_nationkey, element_at(map('a', n_name, 'b', 'y'), 'a') as m, size(map_keys(map('a', 1, 'b', 2))) as k from nation", "select n_nationkey, n_name as m, 2 as k from nation"),
+    "null_logic": ("select n_nationkey, (null and n_nationkey > 3) as a, (null or n_nationkey > 3) as o, not (n_nationkey > null) as c from nation", "select n_nationkey, (null and n_nationkey > 3) as a, (null or n_nationkey > 3) as o, cast(null as boolean) as c from nation"),
+    "window_range": ("select o_orderkey, count(*) over (partition by o_orderstatus order by o_custkey asc range between 5 preceding and current row) as n, count(*) filter (where o_totalprice > 100000) over (partition by o_orderstatus) as f from orders", None),
+    "hint_broadcast": ("select /*+ broadcast(r) */ n_name, r_name from nation n join region r on n_regionkey = r_regionkey", "select n_name, r_name from nation join region on n_regionkey = r_regionkey"),
+    "subquery_unaliased": ("select b, n from (select p_brand as b, count(*) as n from part group by p_brand)", None),
     "pg_namespace_owners": ("select nspname, nspowner from pg_namespace", "select unnest(['public', 'pg_catalog', 'information_schema']) as nspname, 0 as nspowner"),
     "pg_namespace": ("select nspname from pg_namespace order by nspname asc", "select unnest(['public', 'pg_catalog', 'information_schema']) as nspname"),
     "quoted_names": ("select \"n_name\" as \"the name\" from nation as \"t\" where \"t\".\"n_nationkey\" > 3", None),
@@ -138,7 +156,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "window_values": ("select o_orderkey, first_value(o_orderkey) over (partition by o_custkey order by o_orderkey asc) as f, nth_value(o_orderkey, 2) over (partition by o_custkey order by o_orderkey asc) as s from orders", None),
     "limit_all": ("select r_name from region order by r_name asc limit all", None),
     "offset_only": ("select n_nationkey from nation order by n_nationkey asc offset 20", None),
-    "sort_nulls_first": ("select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 200000 order by o_orderkey asc nulls first, c_custkey asc limit 20", None),
+    "sort_nulls_first": ("select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 200000 order by o_orderkey asc nulls first, c_custkey asc", None),
     "cte_nested": ("with a as (with b as (select p_brand as x from part) select x from b) select x, count(*) as n from a group by x", None),
     "subquery_lateral": ("select r_name, t.n from region, lateral (select count(*) as n from nation where n_regionkey = r_regionkey) t", None),
     "except_all": ("select n_regionkey as k from nation except all select r_regionkey from region", None),
@@ -163,8 +181,8 @@ def _statement(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _placed(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    """All rows of a sorted statement, without its limit, and the place of each in that order."""
-    sql = re.sub(r" limit \d+$", "", STATEMENTS[name][0])
+    """All rows of a sorted statement, and the place of each in that order."""
+    sql = STATEMENTS[name][0]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = engine(spark, sf_dir, sql).execute(sql)
@@ -184,8 +202,35 @@ def _udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.execute("select n_nationkey, twice(n_nationkey) as t from nation")
 
 
+def _udf_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "nation")
+    e.add_function("joined", lambda name, key: name.str.lower() + "-" + key.astype(str))
+    return e.execute("select joined(n_name, n_nationkey) as j from nation")
+
+
+def _udf_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "part")
+    e.add_aggregate("spread", lambda x: float(x.max() - x.min()))
+    return e.execute("select p_brand, spread(p_size) as s from part group by p_brand")
+
+
+def _lateral_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lateral_json(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props"), "props").select("event_id", "j_key", "j_value")
+
+
+def _copy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, folder = engine(spark, sf_dir, "nation"), _shared(spark)
+    e.execute(f"copy nation to '{folder}' with format 'csv', delimiter ';'")
+    return e.execute(f"select n_regionkey, count(*) as n from copy_from('{folder}', 'delimiter', ';') group by n_regionkey")
+
+
+def _case_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, {"t": spark.read.parquet(f"{sf_dir}/nation.parquet")}, case_sensitive=True)
+    return e.execute('select "N" as x, n as y from (select n_name as "N", n_nationkey as n from t) u')
+
+
 def _letters(word: str):
-    for at, letter in enumerate(word[:3]):
+    for at, letter in enumerate(word):
         yield at, letter
 
 
@@ -240,12 +285,6 @@ def _top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value")
-    orders = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 3 = 0").groupBy("user_id", F.col("ts").alias("at")).agg(F.max("event_id").alias("last_id"))
-    return as_of(events, orders, ["user_id"], "ts", "at", ["last_id"]).select("event_id", "last_id")
-
-
-def _as_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
     earlier = events.groupBy("user_id", (F.col("ts") + F.expr("interval 1 hour")).alias("at")).agg(F.max("event_id").alias("last_id"))
     return as_of(events, earlier, ["user_id"], "ts", "at", ["last_id"]).select("event_id", "last_id")
@@ -271,12 +310,6 @@ def _event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _utc(spark, sf_dir)
-    later = events.select("user_id", F.col("ts").alias("then"), F.col("event_id").alias("next_id")).filter("next_id % 2 = 1")
-    return joined_within(events.select("user_id", "ts", "event_id").filter("event_id % 2 = 0"), later, "user_id", "ts", "then", "6 hours").select("event_id", "next_id")
-
-
-def _event_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _utc(spark, sf_dir).select("user_id", "ts", "event_id")
     later = events.select("user_id", F.col("ts").alias("then"), F.col("event_id").alias("next_id"))
     return joined_within(events, later, "user_id", "ts", "then", "6 hours").filter("event_id <> next_id").select("event_id", "next_id")
@@ -285,22 +318,25 @@ def _event_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 CALLS = {
     "show_option": (_show, "select 'read only' as value"),
     "udf_scalar": (_udf_scalar, "select n_nationkey, n_nationkey::bigint * 2 as t from nation"),
-    "udtf_lateral": (_udtf_lateral, "select n_nationkey, (i - 1)::integer as place, substring(n_name, i::integer, 1) as letter from nation, range(1, 4) as r(i) where i <= length(n_name)"),
+    "udf_plain": (_udf_plain, "select lower(n_name) || '-' || n_nationkey as j from nation"),
+    "udf_aggregate": (_udf_aggregate, "select p_brand, (max(p_size) - min(p_size))::double as s from part group by p_brand"),
+    "op_lateral_json": (_lateral_json, "select event_id, j.key as j_key, json_extract_string(props, '$.' || j.key) as j_value from events, json_each(props) j"),
+    "copy_from_scan": (_copy_scan, "select n_regionkey, count(*) as n from nation group by n_regionkey"),
+    "case_sensitive": (_case_sensitive, "select n_name as x, n_nationkey as y from nation"),
+    "udtf_lateral": (_udtf_lateral, "select n_nationkey, (i - 1)::integer as place, substring(n_name, i::integer, 1) as letter from (select n_nationkey, n_name, unnest(range(1, length(n_name) + 1)) as i from nation)"),
     "table_function": (_table_function, "select range * 2 as v from range(10)"),
     "copy_roundtrip": (_copy_roundtrip, "select n_nationkey, n_name, n_regionkey from nation"),
     "copy_parquet": (_copy_parquet, "select p_partkey, p_brand from part"),
     "ctas_then_query": (_ctas, "select o_custkey, count(*) as n from orders where o_totalprice > 100000 group by o_custkey"),
     "in_column": (_in_column, "select n_name from nation where n_nationkey in (select s_nationkey from supplier)"),
     "op_top_k": (_top_k, "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 2"),
-    "op_as_of": (_as_of, "with o as (select user_id, ts as at, max(event_id) as last_id from events where event_id % 3 = 0 group by all) select event_id, last_id from events asof left join o on events.user_id = o.user_id and events.ts >= o.at"),
-    "op_as_of_all": (_as_of_all, "with o as (select user_id, ts + interval 1 hour as at, max(event_id) as last_id from events group by all) select event_id, last_id from events asof left join o on events.user_id = o.user_id and events.ts >= o.at"),
+    "op_as_of": (_as_of, "with o as (select user_id, ts + interval 1 hour as at, max(event_id) as last_id from events group by all) select event_id, last_id from events asof left join o on events.user_id = o.user_id and events.ts >= o.at"),
     "sort_ordinal_all": (_placed("sort_ordinal"), "select o_custkey, o_orderkey, row_number() over (order by o_custkey asc, o_orderkey desc) as place from orders"),
     "sort_expr_all": (_placed("sort_expr"), "select c_custkey, row_number() over (order by 0 - c_acctbal asc nulls last, c_custkey asc) as place from customer"),
     "sort_nulls_first_all": (_placed("sort_nulls_first"), "select c_custkey, o_orderkey, row_number() over (order by o_orderkey asc nulls first, c_custkey asc) as place from customer left join orders on c_custkey = o_custkey and o_totalprice > 200000"),
     "event_sessions": (_event_sessions, "with a as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 2 hours, true) as cut from events), b as (select *, sum(cut::int) over (partition by user_id order by ts rows unbounded preceding) as s from a) select min(ts)::timestamp as start, user_id, count(*) as n from b group by user_id, s"),
     "event_keys": (_event_keys, "select distinct user_id, event_type from events"),
-    "event_pairs": (_event_pairs, "select a.event_id, b.event_id as next_id from events a join events b on a.user_id = b.user_id and a.event_id % 2 = 0 and b.event_id % 2 = 1 and b.ts between a.ts and a.ts + interval 6 hours"),
-    "event_pairs_all": (_event_pairs_all, "select a.event_id, b.event_id as next_id from events a join events b on a.user_id = b.user_id and a.event_id <> b.event_id and b.ts between a.ts and a.ts + interval 6 hours"),
+    "event_pairs": (_event_pairs, "select a.event_id, b.event_id as next_id from events a join events b on a.user_id = b.user_id and a.event_id <> b.event_id and b.ts between a.ts and a.ts + interval 6 hours"),
     "event_windows": (_event_windows, "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as n from events group by 1, 2"),
 }
 

@@ -39,9 +39,9 @@ def read_table(spark: SparkSession, path: str, options: dict) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, options: dict) -> None:
-    """A folder of part files, or one CSV file if the option ``single`` is true or the path ends in .csv."""
+    """A folder of part files, or with the option ``single`` one file, which one task writes."""
     kind, rest = _options(options)
-    single = str(rest.pop("single", path.endswith(".csv") and kind == "csv")).lower() == "true"
+    single = str(rest.pop("single", False)).lower() == "true"
     if kind == "csv":
         rest = {"header": "true"} | rest
     if not single:

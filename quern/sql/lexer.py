@@ -11,7 +11,7 @@ class SqlError(ValueError):
 
 
 class Token(NamedTuple):
-    kind: str  # number, string, name, quoted, op, end
+    kind: str  # number, string, name, quoted, op, hint, end
     text: str
     at: int
 
@@ -22,12 +22,13 @@ class Token(NamedTuple):
 
 
 _TOKEN = re.compile(
-    r"""(?P<skip>\s+|--[^\n]*|/\*.*?\*/)
+    r"""(?P<hint>/\*\+.*?\*/)
+    |(?P<skip>\s+|--[^\n]*|/\*.*?\*/)
     |(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)
     |(?P<string>'(?:[^']|'')*')
     |(?P<quoted>"(?:[^"\\]|\\.|"")*")
     |(?P<name>[^\W\d]\w*)
-    |(?P<op>\|\|/|->>|::|\|\||\|/|<>|!=|<=|>=|!>|!<|<<|>>|!!|->|!~\*|!~|~\*|[-+*/%^&|\#~<>=(),.;:\[\]!@])""",
+    |(?P<op>\|\|/|->>|\#>>|\#>|::|\|\||\|/|<>|!=|<=|>=|!>|!<|<<|>>|!!|->|!~\*|!~|~\*|[-+*/%^&|\#~<>=(),.;:\[\]!@])""",
     re.VERBOSE | re.DOTALL,
 )
 
@@ -39,7 +40,8 @@ def tokenize(text: str) -> list[Token]:
         found = _TOKEN.match(text, at)
         if not found:
             raise SqlError(f"unexpected {text[at]!r} at {at}")
-        if found.lastgroup != "skip":
+        # a hint counts behind SELECT, and is a comment elsewhere
+        if found.lastgroup != "skip" and (found.lastgroup != "hint" or out and out[-1].word == "select"):
             out.append(Token(found.lastgroup, found.group(), at))
         at = found.end()
     out.append(Token("end", "", at))

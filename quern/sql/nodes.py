@@ -54,6 +54,7 @@ class Call(Node):
     where: Node | None = None
     over: Window | None = None
     order: tuple = ()
+    within: tuple = ()  # WITHIN GROUP (ORDER BY ...)
 
 
 @dataclass(frozen=True)
@@ -113,6 +114,14 @@ class SubQuery(Node):
     kind: str = "scalar"  # scalar or exists
 
 
+@dataclass(frozen=True)
+class Quantified(Node):
+    op: str
+    kind: str  # any or all
+    left: Node
+    query: Node
+
+
 @dataclass(frozen=True)
 class Tuple(Node):
     items: tuple[Node, ...]
@@ -179,6 +188,7 @@ class Select(Node):
     distinct: bool = False
     distinct_on: tuple[Node, ...] = ()
     windows: tuple[tuple[str, Window], ...] = ()
+    hint: str = ""
 
 
 @dataclass(frozen=True)
@@ -201,6 +211,7 @@ class Query(Node):
     order: tuple[Order, ...] = ()
     limit: Node | None = None
     offset: Node | None = None
+    recursive: bool = False
 
 
 @dataclass(frozen=True)

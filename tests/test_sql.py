@@ -1,8 +1,9 @@
 import random
 
+import pandas as pd
 import pytest
 
-from quern import Engine, execute, parse, tokenize
+from quern import Engine, dbapi, execute, parse, tokenize
 from quern.dbapi import connect
 from quern.sql.lexer import SqlError
 from quern.sql.render import Renderer
@@ -80,7 +81,7 @@ def test_scope_capture_and_copy(spark, tmp_path):
     stores = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "country long, id long")
     assert execute("select count(*) as n from stores", spark=spark).first()[0] == stores.count()
     e = Engine(spark, {"stores": stores}, basepath=str(tmp_path))
-    e.execute("COPY stores TO 'out.csv' WITH delimiter ';', format 'csv'")
+    e.execute("COPY stores TO 'out.csv' WITH delimiter ';', format 'csv', single 'true'")
     assert (tmp_path / "out.csv").read_text().splitlines()[0] == "country;id"
     assert e.execute("select id from copy_from('out.csv', 'delimiter', ';') where country = 1").first()[0] == 3
     e.execute("create table c as select * from stores")
@@ -99,6 +100,57 @@ def test_dbapi(spark):
         assert cursor.execute("select %(a)s as v", {"a": value}).fetchone() == (value,)
     assert cursor.description[0][0] == "v"
     assert cursor.fetchall() == []
+    assert cursor.description[0][1] == dbapi.STRING or cursor.description[0][1] == "boolean"
+    cursor.executemany("select %s as v", [(1,), (2,)])
+    assert cursor.description[0][1] == dbapi.NUMBER and list(cursor) == [(2,)]
+    assert cursor.execute("select * from generate_series(1, 150)").fetchmany() == [(i,) for i in range(1, 101)]
+    assert len(cursor.fetchall()) == 50
+    with pytest.raises(dbapi.ProgrammingError):
+        cursor.execute("select * from nowhere")
+    with pytest.raises(dbapi.NotSupportedError):
+        cursor.execute("show everything")
+
+
+def test_quantified_nulls(spark):
+    q = spark.createDataFrame([(1,), (None,)], "v int")
+    e = Engine(spark, {"q": q})
+    for test, value in {"2 > any (select v from q)": True, "0 > any (select v from q)": None, "0 > all (select v from q)": False, "2 > all (select v from q)": None, "null > all (select v from q where v > 9)": True, "2 > any (select v from q where v > 9)": False, "1 = all (select v from q)": None, "2 <> some (select v from q)": True}.items():
+        assert e.execute(f"select {test} as x").first().x is value, test
+
+
+def test_pandas_frames_functions_and_case(spark):
+    e = Engine(spark, {"t": pd.DataFrame({"a": [1, 2, 3]}), "unused": pd.DataFrame({"x": [object()]})})
+    e.add_function("plus", lambda x, y: x + y, "long")
+    e.add_function("sign", lambda x: "+" if x > 0 else "-", by_row=True)
+    e.add_aggregate("span", lambda x: float(x.max() - x.min()))
+    assert [tuple(r) for r in e.execute("select plus(a, 1) as p, sign(a) as s from t order by a limit 1").collect()] == [(2, "+")]
+    assert e.execute("select span(a) as s from t").first().s == 2.0
+    assert e.compute(e.execute("select a from t order by a desc"))["a"].tolist() == [3, 2, 1]
+    before = spark.conf.get("spark.sql.caseSensitive")
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        Engine(spark, {"t": e.named(("t",))}, case_sensitive=True).execute('select "A" from t')
+    assert spark.conf.get("spark.sql.caseSensitive") == before
+
+
+def test_formats(spark, tmp_path):
+    e = Engine(spark, {"t": spark.range(3)}, basepath=str(tmp_path))
+    for kind in ("orc", "json", "parquet"):
+        e.execute(f"copy t to 't_{kind}' with format '{kind}'")
+        e.execute(f"copy back from 't_{kind}' with format '{kind}'")
+        assert e.execute("select count(*) as n, sum(id) as s from back").first()[:] == (3, 3)
+
+
+def test_json_and_like_edges(spark):
+    js = spark.createDataFrame([(1, '{"a": 1, "b": null}'), (2, "{}"), (3, "[]"), (4, None), (5, '{"a": {"c": [1, 2]}}')], "id int, doc string")
+    e = Engine(spark, {"js": js})
+    found = e.execute("select js.id, j.key from js, lateral json_each(js.doc::json) j where js.id <> 3").collect()
+    assert sorted(map(tuple, found)) == [(1, "a"), (1, "b"), (5, "a")]
+    found = e.execute("select id, doc::json #>> '{a,c,1}' as x, doc::json ->> 'a' as y from js order by id").collect()
+    assert [r.x for r in found] == [None, None, None, None, "2"] and [r.y for r in found][:4] == ["1", None, None, None]
+    likes = spark.createDataFrame([("a%b",), ("a_b",), ("axb",), ("a\nb",), ("A%B",)], "s string")
+    e.update(likes=likes)
+    of = lambda test: {r.s for r in e.execute(f"select s from likes where {test}").collect()}
+    assert of("s like 'a_b'") == {"a%b", "a_b", "axb", "a\nb"} and of("s like 'a!%b' escape '!'") == {"a%b"} and of("s ilike 'a!%%' escape '!'") == {"a%b", "A%B"}
 
 
 def test_streaming(spark, tmp_path):
