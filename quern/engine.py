@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,8 +149,8 @@ class Engine:
             return self.spark.createDataFrame(PG_NAMESPACE, "nspname string, nspowner int, nspacl string")
         raise KeyError(f"table {name!r} not found")
 
-    def render(self, tree: n.Query, basepath: str | None = None) -> tuple[str, list[str]]:
-        """Spark SQL of a query, and the temporary views that it reads."""
+    def render(self, tree: n.Query, basepath: str | None = None, hashed: bool = True) -> tuple[str, list[str], bool]:
+        """Spark SQL of a query, the temporary views that it reads, and whether NOT IN was split (see Renderer)."""
         views: dict[int, str] = {}
 
         def view(df: DataFrame) -> str:
@@ -177,7 +178,7 @@ class Engine:
                 return f"{self.laterals[call.name]}({', '.join(map(r.expr, call.args))})"
             return None
 
-        renderer = Renderer(table, function, self.default_order, self.safe_divide)
+        renderer = Renderer(table, function, self.default_order, self.safe_divide, hashed)
         call = renderer._call
 
         def own(e: n.Call) -> str:
@@ -187,15 +188,20 @@ class Engine:
             return call(e)
 
         renderer._call = own
-        return renderer.query(tree), list(views.values())
+        return renderer.query(tree), list(views.values()), renderer.split
 
-    def run(self, tree: n.Query, basepath: str | None = None) -> DataFrame:
-        sql, views = self.render(tree, basepath)
+    def run(self, tree: n.Query, basepath: str | None = None, hashed: bool = True) -> DataFrame:
+        sql, views, split = self.render(tree, basepath, hashed)
         setting, before = "spark.sql.caseSensitive", self.spark.conf.get("spark.sql.caseSensitive")
         try:
             if self.case_sensitive:
                 self.spark.conf.set(setting, "true")
             return self.spark.sql(sql)
+        except AnalysisException:
+            # Spark takes fewer correlated forms of EXISTS than of NOT IN
+            if not split:
+                raise
+            return self.run(tree, basepath, False)
         finally:
             self.spark.conf.set(setting, before)
             for v in views:

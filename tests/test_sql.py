@@ -198,3 +198,20 @@ def test_arguments_of_table_functions(spark):
     assert e.execute("select count(*) as n from upto(2 + 3, -1)").first().n == 4
     with pytest.raises(Exception, match="constants"):
         e.execute("select count(*) as n from upto(length('abc'))")
+
+
+def test_not_in_is_joined_by_key(spark, duck):
+    a = spark.createDataFrame([(1, 1), (2, None), (3, 3), (None, 4)], "k int, v int")
+    b = spark.createDataFrame([(1, 1, 7), (2, 3, 1), (3, None, 2)], "id long, v long, w int")
+    e = Engine(spark, {"a": a, "b": b})
+    rows = lambda df: ", ".join(str(tuple(r)).replace("None", "null") for r in df.collect())
+    sql = f"with a(k, v) as (values {rows(a)}), b(id, v, w) as (values {rows(b)}) "
+    for q in ("select v from b", "select v from b where v is not null", "select v from b where id > 9", "select v from b where b.id = a.k", "select v from b where b.w < a.k"):
+        for test in (f"v not in ({q})", f"k > 2 or v <> all ({q})", f"not (v in ({q}) and k < 3)", f"not (v = any ({q}) or k = 1)", f"(v not in ({q})) is null", f"v + 1 not in ({q}) or k is null"):
+            statement = f"select k, v from a where {test}"
+            assert sorted(map(tuple, e.execute(statement).collect()), key=repr) == sorted(duck.sql(sql + statement).fetchall(), key=repr), statement
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    e.update(orders=orders, customer=spark.read.parquet("/root/testdata/sf0.001/customer.parquet"))
+    for test in ("c_custkey <> all (select o_custkey from orders) or c_acctbal < 0", "not (c_acctbal > 0 and c_custkey in (select o_custkey from orders))", "c_custkey not in (select o_custkey from orders)"):
+        plan = e.execute(f"select c_custkey from customer where {test}")._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "isnull((" not in plan, plan
