@@ -36,6 +36,19 @@ def constant(e: n.Node) -> object:
     raise SqlError("arguments of a table function have to be constants")
 
 
+def repeats(df: DataFrame) -> bool:
+    """Each run gives the same rows: files or a range, projected and filtered by functions without chance."""
+    if df.isStreaming or not hasattr(df, "_jdf"):
+        return False
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() not in ("LogicalRelation", "LocalRelation", "Range", "Project", "Filter", "SubqueryAlias") or not plan.deterministic():
+            return False
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    return True
+
+
 class Engine:
     """Runs statements against a scope of DataFrames (pandas frames are converted).
 
@@ -149,8 +162,8 @@ class Engine:
             return self.spark.createDataFrame(PG_NAMESPACE, "nspname string, nspowner int, nspacl string")
         raise KeyError(f"table {name!r} not found")
 
-    def render(self, tree: n.Query, basepath: str | None = None, hashed: bool = True) -> tuple[str, list[str], bool]:
-        """Spark SQL of a query, the temporary views that it reads, and whether NOT IN was split (see Renderer)."""
+    def render(self, tree: n.Query, basepath: str | None = None, split: bool = True) -> tuple[str, list[str], bool]:
+        """Spark SQL of a query, the temporary views that it reads, and whether something in it was split (see Renderer)."""
         views: dict[int, str] = {}
 
         def view(df: DataFrame) -> str:
@@ -178,7 +191,7 @@ class Engine:
                 return f"{self.laterals[call.name]}({', '.join(map(r.expr, call.args))})"
             return None
 
-        renderer = Renderer(table, function, self.default_order, self.safe_divide, hashed)
+        renderer = Renderer(table, function, self.default_order, self.safe_divide, split, lambda parts: repeats(self.named(parts)))
         call = renderer._call
 
         def own(e: n.Call) -> str:
@@ -188,18 +201,18 @@ class Engine:
             return call(e)
 
         renderer._call = own
-        return renderer.query(tree), list(views.values()), renderer.split
+        return renderer.query(tree), list(views.values()), renderer.was_split
 
-    def run(self, tree: n.Query, basepath: str | None = None, hashed: bool = True) -> DataFrame:
-        sql, views, split = self.render(tree, basepath, hashed)
+    def run(self, tree: n.Query, basepath: str | None = None, split: bool = True) -> DataFrame:
+        sql, views, was_split = self.render(tree, basepath, split)
         setting, before = "spark.sql.caseSensitive", self.spark.conf.get("spark.sql.caseSensitive")
         try:
             if self.case_sensitive:
                 self.spark.conf.set(setting, "true")
             return self.spark.sql(sql)
         except AnalysisException:
-            # Spark takes fewer correlated forms of EXISTS than of NOT IN
-            if not split:
+            # for example, Spark takes fewer correlated forms of EXISTS than of NOT IN
+            if not was_split:
                 raise
             return self.run(tree, basepath, False)
         finally:

@@ -215,3 +215,36 @@ def test_not_in_is_joined_by_key(spark, duck):
     for test in ("c_custkey <> all (select o_custkey from orders) or c_acctbal < 0", "not (c_acctbal > 0 and c_custkey in (select o_custkey from orders))", "c_custkey not in (select o_custkey from orders)"):
         plan = e.execute(f"select c_custkey from customer where {test}")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "isnull((" not in plan, plan
+
+
+def test_places_are_counted_range_by_range(spark, duck, tmp_path, monkeypatch):
+    from quern.sql import render
+
+    monkeypatch.setattr(render, "SAMPLED", 3)
+    rng = random.Random(5)
+    rows = [(i, rng.choice("abc") if i % 7 else None, rng.randint(-9, 40) if i % 5 else None, rng.choice([0.0, -0.0, 2.5, float("nan"), -1e9, 1.0 * i]), i * 7919 % 3001) for i in range(3000)]
+    spark.createDataFrame(rows, "id long, g string, v int, x double, u long").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    e = Engine(spark, {"t": t, "few": t.where("id < 1"), "none": t.where("id < 0"), "odd": t.orderBy("u").limit(2000)})
+    duck.sql(f"create or replace temp view t as select * from '{tmp_path}/t/*.parquet'")
+    duck.sql("create or replace temp view few as select * from t where id < 1")
+    e.update(other=t.where("id < 1").select(t.id.alias("key")))
+    duck.sql("create or replace temp view other as select id as key from t where id < 1")
+    duck.sql("create or replace temp view none as select * from t where id < 0")
+    orders = ("u", "u desc", "v, x desc, id", "v desc nulls first, id desc", "x asc nulls first, v desc, u")
+    for table, order in [("few", "u"), ("none", "u"), ("t, other", "u desc"), *(("t", o) for o in orders)]:
+        order = ", ".join(o if "nulls" in o else f"{o} nulls last" for o in order.split(", "))
+        what = f"id as i, rank() over (order by {order}) as r, ntile(7) over (order by {order}) as q, ntile(5000) over (partition by g order by {order}) as s, percent_rank() over (partition by g order by {order}) as p, cume_dist() over (partition by g order by {order}) as c"
+        statement = f"select {what} from {table} where u > 40"
+        assert sorted(map(tuple, e.execute(statement).collect())) == sorted(duck.sql(statement).fetchall()), statement
+    for order in ("v desc", "x"):
+        statement = f"select id as i, rank() over (order by {order} nulls last) as r, percent_rank() over (partition by g order by {order} nulls last) as p, cume_dist() over (partition by g, id % 2 order by {order} nulls last) as c from t"
+        assert sorted(map(tuple, e.execute(statement).collect())) == sorted(duck.sql(statement).fetchall()), statement
+    # Spark puts all rows in one task
+    plan = e.execute("select id, ntile(4) over (order by u) as q from t")._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(u" not in plan
+    split = lambda sql: e.render(parse(sql))[2]
+    assert split("select ntile(4) over (partition by g order by u) as q from t")
+    # rows that may change from run to run, aggregates and aliases stay with Spark
+    for sql in ("select ntile(4) over (order by u) as q from odd", "select ntile(4) over (order by count(*)) as q from t group by g", "select u + 1 as w, ntile(4) over (order by w) as q from t", "with t as (select * from odd) select ntile(4) over (order by u) as q from t"):
+        assert not split(sql), sql
